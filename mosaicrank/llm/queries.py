@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from .quality import op8_quality_gbdt
 from .simhash import op9_simhash_neardup
+from .toxicity import op10_toxicity_nnpu
 
 QUERIES = {
+    "op8_quality_gbdt": op8_quality_gbdt,
     "op9_simhash_neardup": op9_simhash_neardup,
+    "op10_toxicity_nnpu": op10_toxicity_nnpu,
 }
 
 ORACLES: dict[str, str] = {}
