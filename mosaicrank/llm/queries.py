@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from .bpe import op6_bpe_encode_decode
 from .quality import op8_quality_gbdt
+from .secret_scan import op7_secret_scan
 from .simhash import op9_simhash_neardup
 from .toxicity import op10_toxicity_nnpu
 
 QUERIES = {
+    "op6_bpe_encode_decode": op6_bpe_encode_decode,
+    "op7_secret_scan": op7_secret_scan,
     "op8_quality_gbdt": op8_quality_gbdt,
     "op9_simhash_neardup": op9_simhash_neardup,
     "op10_toxicity_nnpu": op10_toxicity_nnpu,
