@@ -5,12 +5,14 @@ from __future__ import annotations
 from .ann import op4_ann_additive
 from .bpe import op6_bpe_encode_decode
 from .exact_topk import OP5_SQL, op5_exact_topk
+from .mixing import op2_mix_sources
 from .quality import op8_quality_gbdt
 from .secret_scan import op7_secret_scan
 from .simhash import op9_simhash_neardup
 from .toxicity import op10_toxicity_nnpu
 
 QUERIES = {
+    "op2_mix_sources": op2_mix_sources,
     "op4_ann_additive": op4_ann_additive,
     "op5_exact_topk": op5_exact_topk,
     "op6_bpe_encode_decode": op6_bpe_encode_decode,
