@@ -1,14 +1,18 @@
 """Byte-level BPE over a table of distinct words.
 
-Texts are cut into chunks of whole documents. Within a chunk each distinct word gets a position
-in the chunk's word list, and documents become arrays of positions. The word lists of all chunks
-are dealt by word, so that each distinct word meets the tokenizer once; its ids go back to the
-chunks that hold it, and by position into their documents. Decoding joins ids with the table of
+A word here is what lies between two safe cuts: before a lone space or around a lone line feed
+that has no white space beside it. The tokenizer's own splitting never crosses such a cut and
+looks at nothing beyond it, so the ids of a text are the ids of its words, joined.
+
+Texts are cut into chunks of whole documents. Within a chunk each distinct word gets a rank by
+frequency, and documents become arrays of ranks. The word lists of all chunks are dealt by a
+hash of the word, so that each distinct word meets the tokenizer once; its ids go back to the
+chunks that hold it, and by rank into their documents. Decoding joins ids with the table of
 pieces (as many rows as the vocabulary) and concatenates.
 
-Chunks bound what a task holds, and only word lists and compressed positions are shuffled, never
-texts. The two passes that form chunks must see documents alike, so docs must be a table that is
-read, not a plan whose rows move.
+Chunks bound what a task holds, and only packed word lists and ranks are shuffled, never texts.
+The two passes that form chunks must see documents alike, so docs must be a table that is read,
+not a plan whose rows move.
 
 Edge cases: null counts as empty; an empty text has no tokens and decodes to the empty text.
 A special token's string within a text becomes its id, as the library does by default. Rows that
@@ -17,96 +21,110 @@ repeat each get their result. Extra columns don't matter. A text longer than a c
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import json
 import re
-import unicodedata
+import zlib
 from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import byte_rows, read, slices
 
 CHUNK_BYTES = 32 << 20
-_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?{L}+| ?{N}+| ?[^{S}{l}{n}]+|[{S}]+(?![^{S}])|[{S}]+"
-#: Characters on which the classes of all Unicode versions in use agree.
-_COMMON = "\x00-ɏ‐-‧‰-⁞€"
+_CUT = re.compile(r"(?<=\S)(?= \S)|(?<=\S)(?=\n\S)|(?<=\S\n)(?=\S)")
+_RUNS = (b"  ", b"\n\n", b" \n", b"\n ", b"\0")
+_OTHER_SPACE = b"\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
+_WIDE_SPACE = (b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80")
 
 
-def _class(test) -> str:
-    return "".join(re.escape(chr(c)) for a, b in ((0, 0x24F), (0x2010, 0x2027), (0x2030, 0x205E), (0x20AC, 0x20AC)) for c in range(a, b + 1) if test(unicodedata.category(chr(c))[0], chr(c)))
+def split_words(text: bytes) -> list[bytes]:
+    """Words that joined are the text, cut only where cuts are safe."""
+    plain = not any(x in text for x in _RUNS) and len(text.translate(None, _OTHER_SPACE)) == len(text)
+    if plain and (text.isascii() or not any(x in text for x in _WIDE_SPACE)):
+        words = text.replace(b"\n", b"\0\n\0").replace(b" ", b"\0 ").split(b"\0")
+        return list(filter(None, words))
+    return [w.encode() for w in _CUT.split(text.decode("utf-8", "replace")) if w]
 
 
-_L, _N = _class(lambda k, c: k == "L"), _class(lambda k, c: k == "N")
-_S = "".join(c for c in "\t\n\x0b\x0c\r \x85\xa0")
-_FAST = re.compile(_PATTERN.format(L=f"[{_L}]", N=f"[{_N}]", S=_S, l=_L, n=_N))
-_FULL = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-_UNCOMMON = re.compile(f"[^{_COMMON}]")
+def trim() -> None:
+    """Gives freed memory back to the system, where the C library can."""
+    give = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if give:
+        give(0)
 
 
-class Splitter:
-    """Splits texts into the words that the tokenizer's pre-tokenizer makes."""
-
-    def __init__(self, spec: str):
-        self.specials = [t["content"] for t in json.loads(spec).get("added_tokens", [])]
-        self.special = re.compile("(" + "|".join(map(re.escape, sorted(self.specials, key=len, reverse=True))) + ")") if self.specials else None
-
-    def _plain(self, text: str) -> list[str]:
-        if not _UNCOMMON.search(text):
-            return _FAST.findall(text)
-        if not any(unicodedata.category(c) == "Cn" for c in set(text)):
-            return _FULL.findall(text)
-        from tokenizers.pre_tokenizers import ByteLevel  # characters too new for the tables here
-
-        return [text[i:j] for _, (i, j) in ByteLevel(add_prefix_space=False).pre_tokenize_str(text)]
+def _chunks(batches, chunk_bytes: int):
+    """Yields (chunk, words by falling frequency, [(ids column, ranks, words per document)])."""
+    from pyspark import TaskContext
 
-    def words(self, text: str) -> list[str]:
-        if self.special is None or not any(s in text for s in self.specials):
-            return self._plain(text)
-        out: list[str] = []
-        for k, part in enumerate(self.special.split(text)):
-            out += [part] if k % 2 else self._plain(part)
-        return out
+    base, k = TaskContext.get().partitionId() << 24, 0
 
+    def finished():
+        every = list(words)
+        seen = np.zeros(len(every), np.int64)
+        for _, at, _ in parts:
+            seen += np.bincount(at, minlength=len(every))
+        order = np.argsort(-seen, kind="stable")
+        rank = np.empty(len(every), np.uint32)
+        rank[order] = np.arange(len(every), dtype=np.uint32)
+        return base + k, [every[i] for i in order.tolist()], [(ids, rank[at], counts) for ids, at, counts in parts]
 
-def _chunks(batches, spec: str, chunk_bytes: int):
-    """Yields (chunk, word list, [(ids column, positions, words per document)])."""
-    from pyspark import TaskContext
+    def fresh():
+        found: defaultdict = defaultdict()
+        found.default_factory = found.__len__
+        return found, [], 0
 
-    splitter, base, k = Splitter(spec), TaskContext.get().partitionId() << 24, 0
-    words: defaultdict = defaultdict()
-    words.default_factory = words.__len__
-    parts, size = [], 0
+    words, parts, size = fresh()
     for b in slices(batches, 128):
         texts = byte_rows(b.column(1))
-        split = [splitter.words(t.decode("utf-8", "replace")) for t in texts]
-        counts = np.fromiter(map(len, split), np.int32, len(split))
-        at = np.fromiter((words[w] for ws in split for w in ws), np.uint32, int(counts.sum()))
-        parts.append((b.column(0), at, counts))
+        counts, at = np.zeros(len(texts), np.int32), []
+        for i, text in enumerate(texts):
+            mine = split_words(text)
+            counts[i] = len(mine)
+            at.append(np.fromiter(map(words.__getitem__, mine), np.uint32, len(mine)))
+        parts.append((b.column(0), np.concatenate(at), counts))
         size += sum(map(len, texts))
         if size >= chunk_bytes:
-            yield base + k, words, parts
-            words, parts, size, k = defaultdict(), [], 0, k + 1
-            words.default_factory = words.__len__
+            yield finished()
+            k += 1
+            words, parts, size = fresh()
+            trim()
     if parts:
-        yield base + k, words, parts
+        yield finished()
+    words, parts, size = fresh()
+    trim()
 
 
 def _pack(values: np.ndarray) -> bytes:
     """Small integers byte plane by byte plane, compressed: high planes are nearly all zero."""
     planes = values.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
-    return pa.compress(planes, codec="zstd", asbytes=True)
+    return len(values).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
 
 
-def _unpack(data: bytes, n: int) -> np.ndarray:
-    planes = np.frombuffer(pa.decompress(data, 4 * n, codec="zstd", asbytes=True), np.uint8)
+def _unpack(data: bytes) -> np.ndarray:
+    n = int.from_bytes(data[:8], "little")
+    planes = np.frombuffer(pa.decompress(data[8:], 4 * n, codec="zstd", asbytes=True), np.uint8) if n else np.empty(0, np.uint8)
     return np.ascontiguousarray(planes.reshape(4, n).T).view("<u4").reshape(-1)
 
 
+def _pack_words(words: list[bytes]) -> bytes:
+    size, blob = _pack(np.fromiter(map(len, words), np.uint32, len(words))), b"".join(words)
+    return len(size).to_bytes(8, "little") + size + len(blob).to_bytes(8, "little") + pa.compress(blob, codec="zstd", asbytes=True)
+
+
+def _unpack_words(data: bytes) -> list[bytes]:
+    at = 8 + int.from_bytes(data[:8], "little")
+    sizes, n = _unpack(data[8:at]), int.from_bytes(data[at : at + 8], "little")
+    blob = pa.decompress(data[at + 8 :], n, codec="zstd", asbytes=True) if n else b""
+    stops = np.cumsum(sizes.astype(np.int64))
+    return [blob[i:j] for i, j in zip((stops - sizes).tolist(), stops.tolist(), strict=True)]
+
+
 def byte_pieces(vocab: dict[str, int]) -> list[bytes]:
     """The id-to-piece table of a byte-level vocabulary."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -122,18 +140,22 @@ def encode_documents(docs: DataFrame, spec: str, chunk_bytes: int = CHUNK_BYTES,
     with_ids also ids (comma-joined) and decoded. spec is the tokenizer's JSON."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(spec)  # one vocabulary
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     source = docs.selectExpr("doc_id", "cast(text as string) as text")
 
     def word_lists(batches):
-        for chunk, words, _ in _chunks(batches, shared.value, chunk_bytes):
-            column = pa.array(list(words), pa.string())
-            for i in range(0, len(column), 20_000):
-                part = column.slice(i, 20_000)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), chunk, np.int64)), pa.array(np.arange(i, i + len(part), dtype=np.int32)), part], ["chunk", "pos", "word"])
+        for chunk, words, _ in _chunks(batches, chunk_bytes):
+            of = np.fromiter(map(zlib.crc32, words), np.uint32, len(words)) % buckets
+            order = np.argsort(of, kind="stable")
+            edges = np.searchsorted(of[order], np.arange(buckets + 1))
+            for b in range(buckets):
+                ranks = sorted(order[edges[b] : edges[b + 1]].tolist(), key=words.__getitem__)  # sorted words pack tightly
+                if ranks:
+                    yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([chunk], pa.int64()), pa.array([_pack(np.array(ranks))], pa.binary()), pa.array([_pack_words([words[r] for r in ranks])], pa.binary())], ["bucket", "chunk", "ranks", "words"])
 
     def positions(batches):
-        for chunk, _, parts in _chunks(batches, shared.value, chunk_bytes):
+        for chunk, _, parts in _chunks(batches, chunk_bytes):
             for ids, at, counts in parts:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([chunk], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), pa.array([counts.tobytes()], pa.binary()), pa.array([_pack(at)], pa.binary())],
@@ -143,18 +165,23 @@ def encode_documents(docs: DataFrame, spec: str, chunk_bytes: int = CHUNK_BYTES,
     def encode(batches):
         from tokenizers import Tokenizer
 
-        tokenizer, last = Tokenizer.from_str(shared.value), (None, None)
+        tokenizer, known, now = Tokenizer.from_str(shared.value), {}, None
         tokenizer.no_truncation()
         tokenizer.no_padding()
-        for b in batches:
-            if not b.num_rows:
-                continue
-            coded = b.column(2).dictionary_encode()
-            words = coded.dictionary.to_pylist()
-            skip = int(words[0] == last[0])  # sorted by word: only the first may have been met
-            ids = [last[1]] * skip + [",".join(map(str, e.ids)) for e in tokenizer.encode_batch(words[skip:], add_special_tokens=False)]
-            last = words[-1], ids[-1]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids, pa.string()).take(coded.indices)], ["chunk", "pos", "ids"])
+        for b in slices(batches, 1):
+            if b.column(0)[0].as_py() != now:
+                now, known = b.column(0)[0].as_py(), {}
+            words = _unpack_words(b.column(3)[0].as_py())
+            new = [w for w in words if w not in known]
+            for i in range(0, len(new), 2000):
+                part = new[i : i + 2000]
+                found = tokenizer.encode_batch([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
+                known.update((w, e.ids) for w, e in zip(part, found, strict=True))
+            ids = [known[w] for w in words]
+            sizes = np.fromiter(map(len, ids), np.uint32, len(ids))
+            flat = np.fromiter((i for x in ids for i in x), np.uint32, int(sizes.sum()))
+            yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array([_pack(sizes)], pa.binary()), pa.array([_pack(flat)], pa.binary())], ["chunk", "ranks", "sizes", "ids"])
+        trim()
 
     cache: dict = {}
 
@@ -163,28 +190,36 @@ def encode_documents(docs: DataFrame, spec: str, chunk_bytes: int = CHUNK_BYTES,
             found = json.loads(shared.value)
             cache["pieces"] = byte_pieces(found["model"]["vocab"] | {t["content"]: t["id"] for t in found["added_tokens"]})
         pieces = cache["pieces"]
-        order = np.argsort(right.column("pos").to_numpy())
-        ids = right.column("ids").take(pa.array(order)).to_pylist()
-        decoded = [b"".join([pieces[int(i)] for i in x.split(",")]) for x in ids]
-        n_ids = np.fromiter((x.count(",") + 1 for x in ids), np.int64, len(ids))
+        lists = [[_unpack(x) for x in right.column(c).to_pylist()] for c in ("ranks", "sizes", "ids")]
+        total = sum(map(len, lists[0]))
+        ids, decoded, n_ids = [""] * total, [b""] * total, np.zeros(total, np.int64)
+        for ranks, sizes, flat in zip(*lists, strict=True):
+            n_ids[ranks] = sizes
+            text, at = [str(i) for i in flat.tolist()], 0
+            piece = [pieces[i] for i in flat.tolist()]
+            for r, n in zip(ranks.tolist(), sizes.tolist(), strict=True):
+                ids[r], decoded[r] = ",".join(text[at : at + n]), b"".join(piece[at : at + n])
+                at += n
+        del lists
         rows: list[list] = [[] for _ in range(6 if with_ids else 4)]
-        for doc_ids, counts, at in zip(*(left.column(c).to_pylist() for c in ("doc_ids", "counts", "at")), strict=True):
-            counts = np.frombuffer(counts, np.int32)
-            total = int(counts.sum())
-            where, start = _unpack(at, total) if total else np.empty(0, np.uint32), 0
-            for doc_id, n in zip(doc_ids, counts.tolist(), strict=True):
+        for k in range(left.num_rows):
+            doc_ids, counts, at = (left.column(c)[k].as_py() for c in ("doc_ids", "counts", "at"))
+            where, start = _unpack(at), 0
+            for doc_id, n in zip(doc_ids, np.frombuffer(counts, np.int32).tolist(), strict=True):
                 mine = where[start : start + n]
                 start += n
                 listed = mine.tolist()
                 joined = ",".join([ids[i] for i in listed])
                 text = b"".join([decoded[i] for i in listed])
-                text = text.decode("utf-8", "replace").encode()
-                for row, v in zip(rows, (doc_id, int(n_ids[mine].sum()), hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(text).hexdigest(), joined, text.decode()), strict=False):
+                for row, v in zip(rows, (doc_id, int(n_ids[mine].sum()), hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(text).hexdigest(), joined, text), strict=False):
                     row.append(v)
-        return pa.table([pa.array(rows[0], left.schema.field("doc_ids").type.value_type), pa.array(rows[1], pa.int64()), *(pa.array(r, pa.string()) for r in rows[2:])], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"][: len(rows)])
+        out = pa.table([pa.array(rows[0], left.schema.field("doc_ids").type.value_type), pa.array(rows[1], pa.int64()), *(pa.array(r, pa.string()) for r in rows[2:])], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"][: len(rows)])
+        del ids, decoded, rows
+        trim()
+        return out
 
-    listed = source.mapInArrow(word_lists, "chunk long, pos int, word string")
-    encoded = listed.repartition("word").sortWithinPartitions("word").mapInArrow(encode, "chunk long, pos int, ids string")
+    listed = source.mapInArrow(word_lists, "bucket int, chunk long, ranks binary, words binary")
+    encoded = listed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(encode, "chunk long, ranks binary, sizes binary, ids binary")
     placed = source.mapInArrow(positions, f"chunk long, doc_ids array<{kind}>, counts binary, at binary")
     schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids string, decoded string" * with_ids
     return placed.groupBy("chunk").cogroup(encoded.groupBy("chunk")).applyInArrow(assemble, schema)
