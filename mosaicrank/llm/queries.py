@@ -5,6 +5,7 @@ from __future__ import annotations
 from .ann import op4_ann_additive
 from .bpe import op6_bpe_encode_decode
 from .exact_topk import OP5_SQL, op5_exact_topk
+from .line_dedup import OP1_SQL, op1_line_dedup
 from .mixing import op2_mix_sources
 from .quality import op8_quality_gbdt
 from .secret_scan import op7_secret_scan
@@ -12,6 +13,7 @@ from .simhash import op9_simhash_neardup
 from .toxicity import op10_toxicity_nnpu
 
 QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
     "op2_mix_sources": op2_mix_sources,
     "op4_ann_additive": op4_ann_additive,
     "op5_exact_topk": op5_exact_topk,
@@ -23,5 +25,6 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_line_dedup": OP1_SQL,
     "op5_exact_topk": OP5_SQL,
 }
