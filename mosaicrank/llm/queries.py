@@ -5,6 +5,7 @@ from __future__ import annotations
 from .ann import op4_ann_additive
 from .bpe import op6_bpe_encode_decode
 from .exact_topk import OP5_SQL, op5_exact_topk
+from .license_scan import op3_license_scan
 from .line_dedup import OP1_SQL, op1_line_dedup
 from .mixing import op2_mix_sources
 from .quality import op8_quality_gbdt
@@ -15,6 +16,7 @@ from .toxicity import op10_toxicity_nnpu
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_mix_sources": op2_mix_sources,
+    "op3_license_scan": op3_license_scan,
     "op4_ann_additive": op4_ann_additive,
     "op5_exact_topk": op5_exact_topk,
     "op6_bpe_encode_decode": op6_bpe_encode_decode,
