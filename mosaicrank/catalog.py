@@ -1,4 +1,700 @@
-"""Queries over the driver's tables, with the SQL they must agree with."""
+"""Queries over the driver's tables, each with the SQL it must agree with.
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+Fixtures: ``embeddings`` grouped five to a document are documents of token vectors; per-label means
+are centroids; documents, labels, events, orders and part give terms.
+"""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+from collections.abc import Callable
+
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .functions import vec
+from .index import Index
+from .operators import postings as P
+from .operators import scoring as S
+from .operators.kmeans import CoarseQuantizer, assign_column, lloyd_step
+from .operators.quantizers import Binarizer, ProductQuantizer
+from .plans.planner import probed
+from .plans.query import AndQueryNode, OrQueryNode, Query, TermQueryNode, VectorQueryNode
+from .session import ship
+from .sources import schema as T
+from .sources.frames import documents_frame
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    """Registers a query, with its SQL where SQL can say it."""
+
+    def register(f):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark)
+            return f(spark, sf_dir)
+
+        QUERIES[name] = run
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return register
+
+
+# fixtures
+
+EMB = "emb AS (SELECT vec_id, vec_id // 5 AS doc_id, CAST(vec_id % 5 AS INTEGER) AS token_idx, CAST(embedding AS DOUBLE[]) AS v, label FROM embeddings)"
+CEN = (
+    "cen AS (SELECT cid, list(m ORDER BY pos) AS v FROM (SELECT label AS cid, pos, round(avg(x), 6) AS m FROM "
+    "(SELECT label, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM emb) GROUP BY label, pos) GROUP BY cid)"
+)
+ASG = "asg AS (SELECT * FROM (SELECT e.*, c.cid, c.v AS cv, list_dot_product(e.v, c.v) AS s, row_number() OVER (PARTITION BY vec_id ORDER BY list_dot_product(e.v, c.v) DESC, cid) AS rn FROM emb e, cen c) WHERE rn = 1)"
+QS = "qt AS (SELECT q.vec_id AS q, c.cid, list_dot_product(q.v, c.v) AS s FROM emb q, cen c WHERE q.vec_id < 4)"
+CODES = "codes AS (SELECT DISTINCT doc_id, cid FROM asg)"
+PROBE = (
+    "tops AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY s DESC, cid) AS rn FROM qt) WHERE rn <= 2), "
+    "best AS (SELECT cid, max(s) AS s FROM tops GROUP BY cid HAVING max(s) > 0), "
+    "probes AS (SELECT cid FROM best ORDER BY s DESC, cid LIMIT 2), "
+    "cand AS (SELECT DISTINCT doc_id FROM codes WHERE cid IN (SELECT cid FROM probes))"
+)
+PLAID = "plaid AS (SELECT doc_id, sum(s) AS score FROM (SELECT doc_id, q, max(s) AS s FROM codes JOIN qt USING (cid) GROUP BY doc_id, q) GROUP BY doc_id)"
+MAXSIM = "ms AS (SELECT doc_id, sum(greatest(b, 0)) AS score FROM (SELECT d.doc_id, q.vec_id AS q, max(list_dot_product(q.v, d.v) / sqrt(list_dot_product(d.v, d.v))) AS b FROM emb d, emb q WHERE q.vec_id < 4 GROUP BY ALL) GROUP BY doc_id)"
+RES = "res AS (SELECT vec_id, generate_subscripts(v, 1) - 1 AS dim, unnest(v) - unnest(cv) AS x FROM asg)"
+MEANS = "means AS (SELECT dim, round(avg(x), 6) AS m FROM res GROUP BY dim), sorted AS (SELECT m, row_number() OVER (ORDER BY m, dim) - 1 AS i FROM means)"
+
+
+def _with(*parts: str) -> str:
+    return "WITH " + ", ".join(parts) + " "
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings")
+    return e.select("vec_id", F.expr("vec_id div 5").alias("doc_id"), (F.col("vec_id") % 5).cast("int").alias("token_idx"), F.col("embedding").cast("array<double>").alias("v"), "label")
+
+
+def centroid_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(cid, v): per-label means, rounded to six places."""
+    e = tokens(spark, sf_dir).select("label", F.posexplode("v").alias("pos", "x")).groupBy("label", "pos").agg(F.round(F.avg("x"), 6).alias("m"))
+    return e.groupBy(F.col("label").alias("cid")).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "m"))), lambda p: p["m"]).alias("v"))
+
+
+def centroids(spark: SparkSession, sf_dir: str) -> list[list[float]]:
+    """As a model on the driver: one vector a label, labels 0, 1, ... of the fixture."""
+    return [r["v"] for r in centroid_frame(spark, sf_dir).orderBy("cid").collect()]
+
+
+def query_matrix(spark: SparkSession, sf_dir: str, n: int = 4) -> np.ndarray:
+    return np.array([r["v"] for r in tokens(spark, sf_dir).where(f"vec_id < {n}").orderBy("vec_id").collect()])
+
+
+def assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens with their centroid cid and its vector cv."""
+    c = centroids(spark, sf_dir)
+    cid = assign_column("v", c)
+    vectors = F.array(*[F.array(*[F.lit(float(x)) for x in v]) for v in c])
+    return tokens(spark, sf_dir).withColumn("cid", cid).withColumn("cv", vectors[F.col("cid")])
+
+
+def codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assigned(spark, sf_dir).select("doc_id", "cid").distinct()
+
+
+def score_table(spark: SparkSession, sf_dir: str) -> tuple[np.ndarray, DataFrame]:
+    """Query tokens times centroids, as a matrix and as rows (q, cid, s)."""
+    m = query_matrix(spark, sf_dir) @ np.array(centroids(spark, sf_dir)).T
+    rows = [(q, c, float(s)) for q, row in enumerate(m) for c, s in enumerate(row)]
+    return m, spark.createDataFrame(rows, "q bigint, cid int, s double")
+
+
+def grouped(spark: SparkSession, sf_dir: str, v: str = "v") -> DataFrame:
+    """(doc_id, tokens): each document's vectors in order."""
+    rows = tokens(spark, sf_dir).withColumn("v", F.expr(v)) if v != "v" else tokens(spark, sf_dir)
+    return rows.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("token_idx", "v"))), lambda x: x["v"]).alias("tokens"))
+
+
+# vectors
+
+
+@query("mv_brute_maxsim_topk", _with(EMB, MAXSIM) + "SELECT doc_id, round(score, 4) AS score FROM ms ORDER BY ms.score DESC, doc_id LIMIT 10")
+def _(spark, d):
+    q = query_matrix(spark, d).tolist()
+    scored = tokens(spark, d).select("doc_id", F.posexplode(F.array(*[vec.dot(vec.normalize("v"), F.array(*[F.lit(x) for x in row])) for row in q])).alias("q", "s"))
+    best = scored.groupBy("doc_id", "q").agg(F.greatest(F.max("s"), F.lit(0.0)).alias("s")).groupBy("doc_id").agg(F.sum("s").alias("score"))
+    return S.top(best, 10).select("doc_id", F.round("score", 4).alias("score"))
+
+
+@query("mv_brute_maxsim_kernel", _with(EMB, MAXSIM) + "SELECT doc_id, round(score, 4) AS score FROM ms")
+def _(spark, d):
+    q = query_matrix(spark, d)
+
+    @F.pandas_udf("double")
+    def score(c):
+        return c.map(lambda t: S.max_sim(q, np.stack(t)))
+
+    return grouped(spark, d).select("doc_id", F.round(score("tokens"), 4).alias("score"))
+
+
+def _pairs(spark, d):
+    t = tokens(spark, d)
+    return t.select("vec_id", "v").join(F.broadcast(t.where("vec_id = 0").select(F.col("v").alias("w"), F.lit(1).alias("one"))), F.lit(1) == F.col("one"))
+
+
+@query("dot_product", _with(EMB) + "SELECT a.vec_id, round(list_dot_product(a.v, b.v), 4) AS value FROM emb a, emb b WHERE b.vec_id = 0")
+def _(spark, d):
+    return _pairs(spark, d).select("vec_id", F.round(vec.dot("v", "w"), 4).alias("value"))
+
+
+@query("euclidean_distance", _with(EMB) + "SELECT a.vec_id, round(list_distance(a.v, b.v), 4) AS value FROM emb a, emb b WHERE b.vec_id = 0")
+def _(spark, d):
+    return _pairs(spark, d).select("vec_id", F.round(vec.euclidean("v", "w"), 4).alias("value"))
+
+
+@query("l2_norm", _with(EMB) + "SELECT vec_id, round(sqrt(list_dot_product(v, v)), 4) AS value FROM emb")
+def _(spark, d):
+    return tokens(spark, d).select("vec_id", F.round(vec.l2_norm("v"), 4).alias("value"))
+
+
+@query("normalize_vec", _with(EMB) + "SELECT vec_id, CAST(generate_subscripts(v, 1) - 1 AS INTEGER) AS dim, round(unnest(v) * 3 / sqrt(9 * list_dot_product(v, v)), 4) + 0.0 AS value FROM emb")
+def _(spark, d):
+    tripled = F.transform("v", lambda x: x * 3)
+    return tokens(spark, d).select("vec_id", F.posexplode(vec.normalize(tripled)).alias("dim", "value")).withColumn("value", F.round("value", 4) + 0.0)
+
+
+# centroids
+
+
+@query("label_centroids", _with(EMB, CEN) + "SELECT CAST(cid AS INTEGER) AS cid, CAST(generate_subscripts(v, 1) - 1 AS INTEGER) AS dim, unnest(v) AS value FROM cen")
+def _(spark, d):
+    return centroid_frame(spark, d).select(F.col("cid").cast("int"), F.posexplode("v").alias("dim", "value"))
+
+
+SEEDS = "seeds AS (SELECT CAST(vec_id AS INTEGER) AS cid, v FROM emb WHERE vec_id < 8), own AS (SELECT * FROM (SELECT e.vec_id, e.v, s.cid, row_number() OVER (PARTITION BY e.vec_id ORDER BY list_dot_product(e.v, s.v) DESC, s.cid) AS rn FROM emb e, seeds s) WHERE rn = 1)"
+
+
+@query("kmeans_one_step", _with(EMB, SEEDS) + "SELECT cid, CAST(dim AS INTEGER) AS dim, round(avg(x), 4) + 0.0 AS value FROM (SELECT cid, generate_subscripts(v, 1) - 1 AS dim, unnest(v) AS x FROM own) GROUP BY cid, dim")
+def _(spark, d):
+    seeds = query_matrix(spark, d, 8)
+    means, _ = lloyd_step(tokens(spark, d), seeds)
+    return spark.createDataFrame([(c, j, float(x)) for c, row in enumerate(means) for j, x in enumerate(row)], "cid int, dim int, value double").withColumn("value", F.round("value", 4) + 0.0)
+
+
+@query("ivf_assign", _with(EMB, CEN, ASG) + "SELECT vec_id, CAST(cid AS INTEGER) AS cid FROM asg")
+def _(spark, d):
+    return assigned(spark, d).select("vec_id", "cid")
+
+
+@query("residuals", _with(EMB, CEN, ASG, RES) + "SELECT vec_id, CAST(dim AS INTEGER) AS dim, round(x, 4) + 0.0 AS value FROM res")
+def _(spark, d):
+    return assigned(spark, d).select("vec_id", F.posexplode(vec.subtract("v", "cv")).alias("dim", "value")).withColumn("value", F.round("value", 4) + 0.0)
+
+
+@query("centroid_reconstruct", _with(EMB, CEN, ASG) + "SELECT vec_id, CAST(generate_subscripts(cv, 1) - 1 AS INTEGER) AS dim, unnest(cv) AS value FROM asg WHERE vec_id < 50")
+def _(spark, d):
+    return assigned(spark, d).where("vec_id < 50").select("vec_id", F.posexplode("cv").alias("dim", "value"))
+
+
+@query("coarse_topk", _with(EMB, CEN) + "SELECT vec_id, CAST(rn AS INTEGER) AS rank, CAST(cid AS INTEGER) AS cid, round(s, 4) AS score FROM (SELECT e.vec_id, c.cid, list_dot_product(e.v, c.v) AS s, row_number() OVER (PARTITION BY vec_id ORDER BY list_dot_product(e.v, c.v) DESC, cid) AS rn FROM emb e, cen c) WHERE rn <= 3")
+def _(spark, d):
+    c = F.broadcast(centroid_frame(spark, d).select(F.col("cid").cast("int"), F.col("v").alias("cv"), F.lit(1).alias("one")))
+    scored = tokens(spark, d).join(c, F.lit(1) == F.col("one")).select("vec_id", "cid", vec.dot("v", "cv").alias("s"))
+    w = Window.partitionBy("vec_id").orderBy(F.desc("s"), "cid")
+    return scored.withColumn("rank", F.row_number().over(w)).where("rank <= 3").select("vec_id", "rank", "cid", F.round("s", 4).alias("score"))
+
+
+def _ivf(spark, d) -> DataFrame:
+    listed = assigned(spark, d).groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("token_idx", "cid"))), lambda x: x["cid"]).alias("codes"))
+    return P.centroid_postings(listed, "colbert")
+
+
+@query("ivf_postings", _with(EMB, CEN, ASG, CODES) + "SELECT doc_id, CAST(cid AS BIGINT) AS cid FROM codes")
+def _(spark, d):
+    return _ivf(spark, d).select("doc_id", F.col("num").alias("cid"))
+
+
+@query("posting_list_sizes", _with(EMB, CEN, ASG, CODES) + "SELECT CAST(cid AS BIGINT) AS cid, count(*) AS n FROM codes GROUP BY cid")
+def _(spark, d):
+    return _ivf(spark, d).groupBy(F.col("num").alias("cid")).agg(F.count("*").alias("n"))
+
+
+@query("doc_centroid_mapping", _with(EMB, CEN, ASG, CODES) + "SELECT doc_id, string_agg(CAST(cid AS VARCHAR), ',' ORDER BY cid) AS centroids FROM codes GROUP BY doc_id")
+def _(spark, d):
+    return P.mapping(_ivf(spark, d), "colbert").select("doc_id", F.array_join("centroids", ",").alias("centroids"))
+
+
+# terms
+
+_INDEXED = [T.FieldRole.INDEXED]
+DOCS = T.Schema([T.Field("lang", T.DataType.TEXT, _INDEXED), T.Field("source", T.DataType.TEXT, _INDEXED), T.Field("n_chars", T.DataType.INTEGER, _INDEXED), T.Field("quality", T.DataType.INTEGER, _INDEXED)])
+EVENTS = T.Schema([T.Field("ts", T.DataType.DATETIME, _INDEXED), T.Field("value", T.DataType.FLOAT, _INDEXED), T.Field("event_type", T.DataType.TEXT, _INDEXED)])
+PARTS = T.Schema([T.Field("brand", T.DataType.TEXT, _INDEXED), T.Field("price", T.DataType.FLOAT, _INDEXED)])
+
+
+def _postings(spark, schema: T.Schema, docs: DataFrame) -> DataFrame:
+    parts = P.scalar_postings(documents_frame(spark, schema, docs), schema)
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def doc_postings(spark, d) -> DataFrame:
+    labels = table(spark, d, "labels").select("doc_id", "quality")
+    return _postings(spark, DOCS, table(spark, d, "documents").select("doc_id", "lang", "source", "n_chars").join(labels, "doc_id", "left"))
+
+
+def term(spark, d, name: str, value, kind: T.DataType = T.DataType.TEXT, score: float = 1.0) -> DataFrame:
+    return P.scan(doc_postings(spark, d), P.term_filter(DOCS, name, kind, value)).withColumn("score", F.lit(score))
+
+
+@query("term_text_eq", "SELECT doc_id FROM documents WHERE lang = 'de'")
+def _(spark, d):
+    return term(spark, d, "lang", "de").select("doc_id")
+
+
+@query("term_int_eq", "SELECT doc_id FROM labels WHERE quality = 0")
+def _(spark, d):
+    return term(spark, d, "quality", 0, T.DataType.INTEGER).select("doc_id")
+
+
+@query("term_float_eq", "SELECT p_partkey AS doc_id FROM part WHERE CAST(p_retailprice AS FLOAT) = (SELECT CAST(p_retailprice AS FLOAT) FROM part ORDER BY p_partkey LIMIT 1)")
+def _(spark, d):
+    part = table(spark, d, "part").select(F.col("p_partkey").alias("doc_id"), F.col("p_brand").alias("brand"), F.col("p_retailprice").alias("price"))
+    price = float(part.orderBy("doc_id").first()["price"])
+    return P.scan(_postings(spark, PARTS, part), P.term_filter(PARTS, "price", T.DataType.FLOAT, price))
+
+
+@query("term_datetime_eq", "SELECT event_id AS doc_id FROM events WHERE epoch_ms(ts) = (SELECT epoch_ms(ts) FROM events ORDER BY event_id LIMIT 1)")
+def _(spark, d):
+    events = table(spark, d, "events").select(F.col("event_id").alias("doc_id"), F.col("ts").cast("timestamp").alias("ts"), "value", "event_type")
+    at = events.orderBy("doc_id").select(F.unix_millis("ts")).first()[0]
+    return P.scan(_postings(spark, EVENTS, events), P.term_filter(EVENTS, "ts", T.DataType.DATETIME, at))
+
+
+@query("posting_counts", "SELECT 'lang' AS field, lang AS term, count(*) AS n FROM documents GROUP BY lang UNION ALL SELECT 'source', source, count(*) FROM documents GROUP BY source")
+def _(spark, d):
+    return doc_postings(spark, d).where("kind = 'text'").groupBy("field", F.col("text").alias("term")).agg(F.count("*").alias("n"))
+
+
+@query("term_missing_is_empty", "SELECT doc_id FROM documents WHERE lang = 'xx'")
+def _(spark, d):
+    return term(spark, d, "lang", "xx").select("doc_id")
+
+
+@query("term_wrong_type_is_empty", "SELECT doc_id FROM documents WHERE false")
+def _(spark, d):
+    return term(spark, d, "lang", 7, T.DataType.INTEGER).select("doc_id")
+
+
+@query("and_two_terms", "SELECT doc_id FROM documents JOIN labels USING (doc_id) WHERE lang = 'en' AND quality = 1")
+def _(spark, d):
+    return P.intersect([term(spark, d, "lang", "en"), term(spark, d, "quality", 1, T.DataType.INTEGER)]).select("doc_id")
+
+
+@query("or_two_terms", "SELECT doc_id FROM documents WHERE lang = 'de' OR source = 'src3'")
+def _(spark, d):
+    return P.unite([term(spark, d, "lang", "de"), term(spark, d, "source", "src3")]).select("doc_id")
+
+
+@query("and_nested_or", "SELECT doc_id FROM documents JOIN labels USING (doc_id) WHERE quality = 1 AND (lang = 'de' OR lang = 'fr')")
+def _(spark, d):
+    return P.intersect([term(spark, d, "quality", 1, T.DataType.INTEGER), P.unite([term(spark, d, "lang", "de"), term(spark, d, "lang", "fr")])]).select("doc_id")
+
+
+@query("or_with_empty_child", "SELECT doc_id FROM documents WHERE lang = 'de'")
+def _(spark, d):
+    return P.unite([term(spark, d, "lang", "xx"), term(spark, d, "lang", "de")]).select("doc_id")
+
+
+@query("and_with_empty_child", "SELECT doc_id FROM documents WHERE false")
+def _(spark, d):
+    return P.intersect([term(spark, d, "lang", "xx"), term(spark, d, "lang", "de")]).select("doc_id")
+
+
+_NARY = "SELECT doc_id, {} AS score FROM documents WHERE lang = 'de' OR source = 'src3'"
+_A, _B = "CASE WHEN lang = 'de' THEN 2.0 ELSE {0} END", "CASE WHEN source = 'src3' THEN 3.0 ELSE {0} END"
+for _name, _sql in (("sum", f"{_A.format(0)} + {_B.format(0)}"), ("product", f"{_A.format(1)} * {_B.format(1)}"), ("max", f"greatest({_A.format(0)}, {_B.format(0)})")):
+
+    @query(f"score_nary_{_name}", _NARY.format(f"CAST({_sql} AS DOUBLE)"))
+    def _(spark, d, method=_name):
+        return P.unite([term(spark, d, "lang", "de", score=2.0), term(spark, d, "source", "src3", score=3.0)], method).select("doc_id", "score")
+
+
+@query("score_unary_one", "SELECT doc_id, CAST(1.0 AS DOUBLE) AS score FROM documents WHERE lang = 'de'")
+def _(spark, d):
+    return term(spark, d, "lang", "de")
+
+
+# probing and candidates
+
+
+@query("probe_token_topk", _with(EMB, CEN, QS, PROBE.split(", best")[0]) + "SELECT q, CAST(cid AS INTEGER) AS cid, round(s, 4) AS score FROM tops")
+def _(spark, d):
+    _, rows = score_table(spark, d)
+    w = Window.partitionBy("q").orderBy(F.desc("s"), "cid")
+    return rows.withColumn("rn", F.row_number().over(w)).where("rn <= 2").select("q", "cid", F.round("s", 4).alias("score"))
+
+
+@query("probe_centroid_max", _with(EMB, CEN, QS, PROBE.split(", probes")[0]) + "SELECT CAST(cid AS INTEGER) AS cid, round(s, 4) AS score FROM best")
+def _(spark, d):
+    m, _ = score_table(spark, d)
+    return spark.createDataFrame(probed(m, 2, 10**6), "cid int, score double").withColumn("score", F.round("score", 4))
+
+
+@query("probe_n_probe", _with(EMB, CEN, QS, PROBE.split(", cand")[0]) + "SELECT CAST(cid AS INTEGER) AS cid FROM probes")
+def _(spark, d):
+    m, _ = score_table(spark, d)
+    return spark.createDataFrame([(c,) for c, _ in probed(m, 2, 2)], "cid int")
+
+
+def _candidates(spark, d) -> DataFrame:
+    m, _ = score_table(spark, d)
+    return P.probe(_ivf(spark, d), "colbert", [c for c, _ in probed(m, 2, 2)])
+
+
+@query("ann_candidates", _with(EMB, CEN, ASG, QS, CODES, PROBE) + "SELECT doc_id FROM cand")
+def _(spark, d):
+    return _candidates(spark, d)
+
+
+@query("ann_and_term_filter", _with(EMB, CEN, ASG, QS, CODES, PROBE) + "SELECT doc_id FROM cand JOIN documents USING (doc_id) WHERE lang = 'en'")
+def _(spark, d):
+    return P.intersect([_candidates(spark, d).withColumn("score", F.lit(1.0)), term(spark, d, "lang", "en")]).select("doc_id")
+
+
+# scores
+
+
+@query("plaid_centroid_score", _with(EMB, CEN, ASG, QS, CODES, PLAID) + "SELECT doc_id, round(score, 4) AS score FROM plaid")
+def _(spark, d):
+    return S.plaid_scores(codes(spark, d), score_table(spark, d)[1]).select("doc_id", F.round("score", 4).alias("score"))
+
+
+@query("plaid_kernel_score", _with(EMB, CEN, ASG, QS, CODES, PLAID) + "SELECT doc_id, round(score, 4) AS score FROM plaid")
+def _(spark, d):
+    m, _ = score_table(spark, d)
+    listed = codes(spark, d).groupBy("doc_id").agg(F.collect_list("cid").alias("codes"))
+    return listed.select("doc_id", F.round(S.plaid_column(m), 4).alias("score"))
+
+
+BEST = "mx AS (SELECT cid, greatest(max(s), 0) AS s FROM qt GROUP BY cid)"
+
+
+@query("max_score_by_centroid", _with(EMB, CEN, QS, BEST) + "SELECT CAST(cid AS INTEGER) AS cid, round(s, 4) AS score FROM mx")
+def _(spark, d):
+    rows = score_table(spark, d)[1]
+    return rows.groupBy("cid").agg(F.round(F.greatest(F.max("s"), F.lit(0.0)), 4).alias("score"))
+
+
+@query("plaid_threshold_score", _with(EMB, CEN, ASG, QS, CODES, BEST) + "SELECT doc_id, round(sum(s), 4) AS score FROM codes JOIN mx USING (cid) WHERE s >= 0.03 GROUP BY doc_id")
+def _(spark, d):
+    best = score_table(spark, d)[1].groupBy("cid").agg(F.greatest(F.max("s"), F.lit(0.0)).alias("s")).where("s >= 0.03")
+    return codes(spark, d).join(F.broadcast(best), "cid").groupBy("doc_id").agg(F.round(F.sum("s"), 4).alias("score"))
+
+
+@query("missing_context_zero_score", _with(EMB, MAXSIM) + "SELECT doc_id, round(coalesce(ms.score, 0), 4) AS score FROM documents LEFT JOIN ms USING (doc_id)")
+def _(spark, d):
+    score = vec.max_sim(query_matrix(spark, d).tolist(), F.transform("tokens", vec.normalize))
+    scored = grouped(spark, d).select("doc_id", score.alias("score"))
+    return table(spark, d, "documents").select("doc_id").join(scored, "doc_id", "left").select("doc_id", F.round(F.coalesce("score", F.lit(0.0)), 4).alias("score"))
+
+
+# quantizers
+
+
+def _dim_means(spark, d) -> DataFrame:
+    each = assigned(spark, d).select(F.posexplode(vec.subtract("v", "cv")).alias("dim", "x"))
+    return each.groupBy("dim").agg(F.round(F.avg("x"), 6).alias("m"))
+
+
+def _quantiles(spark, d, nbits: int) -> tuple[list[float], list[float]]:
+    """Cutoffs and weights from the per-dimension means: one number for each dimension."""
+    m = sorted(r["m"] for r in _dim_means(spark, d).collect())
+    n = 1 << nbits
+    return [m[int(i / n * len(m))] for i in range(1, n)], [m[int(i / n * len(m))] for i in range(n)]
+
+
+@query("residual_dim_means", _with(EMB, CEN, ASG, RES, MEANS) + "SELECT CAST(dim AS INTEGER) AS dim, m AS value FROM means")
+def _(spark, d):
+    return _dim_means(spark, d).select("dim", F.col("m").alias("value"))
+
+
+@query("binarizer_cutoffs", _with(EMB, CEN, ASG, RES, MEANS) + "SELECT CAST(j AS INTEGER) AS i, m AS value FROM sorted JOIN (SELECT unnest([1, 2, 3]) AS j) ON sorted.i = j * 64 // 4")
+def _(spark, d):
+    return spark.createDataFrame(list(enumerate(_quantiles(spark, d, 2)[0], 1)), "i int, value double")
+
+
+@query("binarizer_weights", _with(EMB, CEN, ASG, RES, MEANS) + "SELECT CAST(j AS INTEGER) AS i, m AS value FROM sorted JOIN (SELECT unnest([0, 1, 2, 3]) AS j) ON sorted.i = j * 64 // 4")
+def _(spark, d):
+    return spark.createDataFrame(list(enumerate(_quantiles(spark, d, 2)[1])), "i int, value double")
+
+
+def _bucket_sql(n: int) -> str:
+    cuts = f"cuts AS (SELECT m FROM sorted WHERE i IN ({', '.join(str(i * 64 // n) for i in range(1, n))}))"
+    flat = "flat AS (SELECT vec_id, generate_subscripts(v, 1) - 1 AS dim, unnest(v) AS x FROM emb)"
+    return _with(EMB, CEN, ASG, RES, MEANS, cuts, flat) + "SELECT vec_id, CAST(dim AS INTEGER) AS dim, CAST((SELECT count(*) FROM cuts WHERE m <= x) AS INTEGER) AS bucket FROM flat WHERE vec_id < 100"
+
+
+for _bits in (1, 2, 4):
+
+    @query(f"binarize_buckets_b{_bits}", _bucket_sql(1 << _bits))
+    def _(spark, d, bits=_bits):
+        cuts, _ = _quantiles(spark, d, bits)
+        return tokens(spark, d).where("vec_id < 100").select("vec_id", F.posexplode("v").alias("dim", "x")).select("vec_id", "dim", vec.bucket(F.col("x"), cuts).alias("bucket"))
+
+
+_W = "cuts AS (SELECT m FROM sorted WHERE i IN (16, 32, 48)), w AS (SELECT list(m ORDER BY i) AS w FROM sorted WHERE i IN (0, 16, 32, 48)), flat AS (SELECT vec_id, doc_id, generate_subscripts(v, 1) - 1 AS dim, unnest(v) AS x FROM emb), deq AS (SELECT vec_id, doc_id, dim, (SELECT w FROM w)[1 + (SELECT count(*) FROM cuts WHERE m <= x)] AS x FROM flat)"
+
+
+def _binarizer(spark, d, nbits: int = 2) -> Binarizer:
+    cuts, weights = _quantiles(spark, d, nbits)
+    return Binarizer(64, nbits, cutoffs=cuts, weights=weights)
+
+
+def _arrow_matrix(name: str, kernel, result: str, column: str = "v"):
+    @F.pandas_udf(result)
+    def run(v):
+        return v.iloc[:0].astype(object) if not len(v) else __import__("pandas").Series(list(kernel(np.stack(v))))
+
+    return run(column).alias(name)
+
+
+@query("binarizer_decode", _with(EMB, CEN, ASG, RES, MEANS, _W) + "SELECT vec_id, CAST(dim AS INTEGER) AS dim, round(x, 6) AS value FROM deq WHERE vec_id < 100")
+def _(spark, d):
+    b = _binarizer(spark, d)
+    rows = tokens(spark, d).where("vec_id < 100").select("vec_id", _arrow_matrix("x", lambda m: b.weights[b.buckets(m)], "array<double>"))
+    return rows.select("vec_id", F.posexplode("x").alias("dim", "value")).withColumn("value", F.round("value", 6))
+
+
+@query(
+    "binarizer_packed_hex",
+    _with(EMB, CEN, ASG, RES, MEANS, "cuts AS (SELECT m FROM sorted WHERE i = 32)", "flat AS (SELECT vec_id, generate_subscripts(v, 1) - 1 AS dim, unnest(v) AS x FROM emb)", "bytes AS (SELECT vec_id, dim // 8 AS byte, sum(CASE WHEN x >= (SELECT m FROM cuts) THEN CAST(pow(2, 7 - dim % 8) AS INTEGER) ELSE 0 END) AS b FROM flat GROUP BY vec_id, dim // 8)")
+    + "SELECT vec_id, string_agg(printf('%02x', CAST(b AS INTEGER)), '' ORDER BY byte) AS code FROM bytes GROUP BY vec_id",
+)
+def _(spark, d):
+    b = _binarizer(spark, d, 1)
+    return tokens(spark, d).select("vec_id", _arrow_matrix("code", lambda m: [x.tobytes().hex() for x in b.encode(m)], "string"))
+
+
+@query("maxsim_quantized", _with(EMB, CEN, ASG, RES, MEANS, _W, "dv AS (SELECT doc_id, vec_id, list(x ORDER BY dim) AS v FROM deq GROUP BY doc_id, vec_id)") + "SELECT doc_id, round(sum(greatest(b, 0)), 4) AS score FROM (SELECT t.doc_id, q.vec_id, max(list_dot_product(q.v, t.v) / sqrt(list_dot_product(t.v, t.v))) AS b FROM dv t, emb q WHERE q.vec_id < 4 GROUP BY ALL) GROUP BY doc_id")
+def _(spark, d):
+    b, q = _binarizer(spark, d), query_matrix(spark, d)
+
+    @F.pandas_udf("double")
+    def score(c):
+        return c.map(lambda t: S.max_sim(q, b.weights[b.buckets(np.stack(t))]))
+
+    return grouped(spark, d).select("doc_id", F.round(score("tokens"), 4).alias("score"))
+
+
+PQ = (
+    "sub AS (SELECT vec_id, p AS part, list_slice(v, p * 8 + 1, p * 8 + 8) AS x FROM emb, (SELECT unnest(range(8)) AS p)), "
+    "book AS (SELECT CAST(vec_id AS INTEGER) AS code, part, x AS c FROM sub WHERE vec_id < 16), "
+    "pq AS (SELECT vec_id, part, x, code, c FROM (SELECT s.vec_id, s.part, s.x, b.code, b.c, row_number() OVER (PARTITION BY s.vec_id, s.part ORDER BY list_dot_product(s.x, b.c) - 0.5 * list_dot_product(b.c, b.c) DESC, b.code) AS rn FROM sub s JOIN book b USING (part)) WHERE rn = 1)"
+)
+
+
+def _product(spark, d) -> ProductQuantizer:
+    m = query_matrix(spark, d, 16)
+    return ProductQuantizer(64, 8, 4, books=np.stack(np.split(m, 8, axis=1)))
+
+
+def _explode_codes(spark, d) -> DataFrame:
+    pq = _product(spark, d)
+    return tokens(spark, d).select("vec_id", _arrow_matrix("codes", lambda m: pq.encode(m).astype(np.int32), "array<int>"))
+
+
+@query("pq_encode", _with(EMB, PQ) + "SELECT vec_id, CAST(part AS INTEGER) AS part, code FROM pq")
+def _(spark, d):
+    return _explode_codes(spark, d).select("vec_id", F.posexplode("codes").alias("part", "code"))
+
+
+@query("pq_decode", _with(EMB, PQ) + "SELECT vec_id, CAST(part * 8 + generate_subscripts(c, 1) - 1 AS INTEGER) AS dim, round(unnest(c), 5) AS value FROM pq WHERE vec_id < 100")
+def _(spark, d):
+    pq = _product(spark, d)
+    decode = lambda m: np.concatenate([pq.books[j][m[:, j]] for j in range(8)], axis=1)
+    rows = _explode_codes(spark, d).where("vec_id < 100").select("vec_id", _arrow_matrix("x", decode, "array<double>", "codes"))
+    return rows.select("vec_id", F.posexplode("x").alias("dim", "value")).withColumn("value", F.round("value", 5))
+
+
+@query("pq_adc_score", _with(EMB, PQ, "q AS (SELECT part, x FROM sub WHERE vec_id = 0)") + "SELECT vec_id, round(sum(list_dot_product(q.x, pq.c)), 4) AS score FROM pq JOIN q USING (part) GROUP BY vec_id")
+def _(spark, d):
+    pq = _product(spark, d)
+    t = pq.tables(query_matrix(spark, d, 1)[0])
+    return _explode_codes(spark, d).select("vec_id", F.round(_arrow_matrix("s", lambda m: t[np.arange(8), m].sum(axis=1), "double", "codes"), 4).alias("score"))
+
+
+# whole searches, over an index that is written and read
+
+_COLBERT = T.FieldParameters(dimensions=64, quantization=T.QuantizerType.NONE, num_centroids=10)
+FULL = T.Schema([
+    T.Field("colbert", T.DataType.TENSOR, [T.FieldRole.COLBERT], _COLBERT),
+    T.Field("lang", T.DataType.TEXT, [T.FieldRole.INDEXED, T.FieldRole.STORED]),
+    T.Field("n_chars", T.DataType.INTEGER, [T.FieldRole.STORED]),
+])
+
+
+def _corpus(spark, d) -> DataFrame:
+    """Documents that have both vectors and a text."""
+    meta = table(spark, d, "documents").select("doc_id", "lang", "n_chars")
+    return grouped(spark, d).select("doc_id", F.col("tokens").alias("colbert")).join(meta, "doc_id")
+
+
+def _scratch(spark: SparkSession) -> str:
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        found = tempfile.mkdtemp(prefix="mosaicrank-")
+    return f"{found}/index-{uuid.uuid4().hex}"
+
+
+def _index(spark, d, tenants: bool = False, docs: DataFrame | None = None) -> Index:
+    index = Index.create(spark, _scratch(spark), FULL)
+    index.set_coarse_quantizer("colbert", CoarseQuantizer(np.array(centroids(spark, d))))
+    docs = _corpus(spark, d) if docs is None else docs
+    if tenants:
+        for t in (0, 1):
+            index.add(t, docs.where(f"doc_id % 2 = {t}"))
+    else:
+        index.add(0, docs)
+    return index
+
+
+def _vector(spark, d) -> VectorQueryNode:
+    return VectorQueryNode(T.tensor("colbert", query_matrix(spark, d)))
+
+
+def _term(name: str, value: str) -> TermQueryNode:
+    return TermQueryNode(T.text(name, value))
+
+
+OPTS = T.SearchOptions(k_top_centroids=2, n_probe=2, num_second_pass=20)
+FIRST = "firstpass AS (SELECT cand.doc_id FROM cand JOIN documents USING (doc_id) JOIN plaid USING (doc_id) ORDER BY plaid.score DESC, cand.doc_id LIMIT 20)"
+SEARCH = (EMB, CEN, ASG, QS, CODES, PROBE, PLAID, MAXSIM)
+
+
+def _rounded(found: DataFrame) -> DataFrame:
+    return found.withColumn("score", F.round("score", 4))
+
+
+@query("two_phase_search", _with(*SEARCH, FIRST) + "SELECT doc_id, round(ms.score, 4) AS score FROM firstpass JOIN ms USING (doc_id) ORDER BY ms.score DESC, doc_id LIMIT 10")
+def _(spark, d):
+    return _rounded(_index(spark, d).search(0, Query(_vector(spark, d)), 10, OPTS).select("doc_id", "score"))
+
+
+@query("search_with_metadata", _with(*SEARCH, FIRST) + "SELECT doc_id, round(ms.score, 4) AS score, lang, n_chars FROM firstpass JOIN ms USING (doc_id) JOIN documents USING (doc_id) ORDER BY ms.score DESC, doc_id LIMIT 10")
+def _(spark, d):
+    return _rounded(_index(spark, d).search(0, Query(_vector(spark, d)), 10, OPTS))
+
+
+@query("search_and_filter", _with(*SEARCH) + "SELECT doc_id, round(ms.score, 4) AS score FROM cand JOIN ms USING (doc_id) JOIN documents USING (doc_id) WHERE lang = 'en' ORDER BY ms.score DESC, doc_id LIMIT 10")
+def _(spark, d):
+    root = AndQueryNode([_vector(spark, d), _term("lang", "en")])
+    return _rounded(_index(spark, d).search(0, Query(root), 10, T.SearchOptions(n_probe=2)).select("doc_id", "score"))
+
+
+@query("search_or_filter", _with(*SEARCH) + "SELECT doc_id, round(ms.score, 4) AS score FROM ms JOIN documents USING (doc_id) WHERE lang = 'de' OR doc_id IN (SELECT doc_id FROM cand) ORDER BY ms.score DESC, doc_id LIMIT 10")
+def _(spark, d):
+    root = OrQueryNode([_vector(spark, d), _term("lang", "de")])
+    return _rounded(_index(spark, d).search(0, Query(root), 10, T.SearchOptions(n_probe=2, num_second_pass=10**6)).select("doc_id", "score"))
+
+
+@query("term_only_search_zero_score", "SELECT doc_id, CAST(0.0 AS DOUBLE) AS score FROM documents WHERE lang = 'de' AND doc_id IN (SELECT vec_id // 5 FROM embeddings) ORDER BY doc_id LIMIT 10")
+def _(spark, d):
+    return _index(spark, d).search(0, Query(_term("lang", "de")), 10).select("doc_id", "score")
+
+
+LIVE = "SELECT doc_id, lang, n_chars FROM documents WHERE doc_id IN (SELECT vec_id // 5 FROM embeddings)"
+
+
+@query("remove_docs", f"{LIVE} AND doc_id % 3 <> 0")
+def _(spark, d):
+    index = _index(spark, d)
+    index.remove(0, _corpus(spark, d).where("doc_id % 3 = 0").select("doc_id"))
+    return index.stored(0)
+
+
+@query("update_docs", f"SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'xx' ELSE lang END AS lang, n_chars FROM ({LIVE})")
+def _(spark, d):
+    index = _index(spark, d)
+    index.update(0, _corpus(spark, d).where("doc_id % 3 = 0").withColumn("lang", F.lit("xx")))
+    index.compact(0)
+    return index.stored(0)
+
+
+@query("upsert_add", f"SELECT term, count(*) AS n FROM (SELECT CASE WHEN doc_id % 4 = 0 THEN 'xx' ELSE lang END AS term FROM ({LIVE})) GROUP BY term")
+def _(spark, d):
+    index = _index(spark, d)
+    index.add(0, _corpus(spark, d).where("doc_id % 4 = 0").withColumn("lang", F.lit("xx")))
+    return index.postings(0).where("field = 'lang'").groupBy(F.col("text").alias("term")).agg(F.count("*").alias("n"))
+
+
+@query("merge_indexes", f"SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'yy' ELSE lang END AS lang, n_chars FROM ({LIVE})")
+def _(spark, d):
+    docs = _corpus(spark, d)
+    a = _index(spark, d, docs=docs)
+    b = Index.copy_trained(a, _scratch(spark))
+    b.add(0, docs.where("doc_id % 2 = 0").withColumn("lang", F.lit("yy")))
+    a.merge(b)
+    return a.stored(0)
+
+
+@query("tenant_isolation", f"SELECT doc_id FROM ({LIVE}) WHERE lang = 'en' AND doc_id % 2 = 1")
+def _(spark, d):
+    index = _index(spark, d, tenants=True)
+    return index.search(1, Query(_term("lang", "en")), 10**6, T.SearchOptions(num_second_pass=10**6)).select("doc_id")
+
+
+@query("metadata_lookup", "SELECT CAST(t.id AS BIGINT) AS doc_id, lang, n_chars FROM (SELECT unnest([0, 3, 999999]) AS id) t LEFT JOIN documents ON doc_id = t.id")
+def _(spark, d):
+    return _index(spark, d).get_metadata(0, [0, 3, 999999])
+
+
+@query("batch_search", _with(EMB) + "SELECT q AS query_id, CAST(rn AS INTEGER) AS rank, doc_id, round(score, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id) AS rn FROM (SELECT q.vec_id AS q, t.doc_id, greatest(max(list_dot_product(q.v, t.v) / sqrt(list_dot_product(t.v, t.v))), 0) AS score FROM emb q, emb t WHERE q.vec_id < 32 GROUP BY ALL)) WHERE rn <= 5")
+def _(spark, d):
+    q = query_matrix(spark, d, 32)
+
+    @F.pandas_udf("array<double>")
+    def scores(c):
+        return c.map(lambda t: np.maximum((q @ S.unit(np.stack(t)).T).max(axis=1), 0))
+
+    each = grouped(spark, d).select("doc_id", F.posexplode(scores("tokens")).alias("query_id", "score"))
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
+    return each.withColumn("rank", F.row_number().over(w)).where("rank <= 5").select(F.col("query_id").cast("long").alias("query_id"), "rank", "doc_id", F.round("score", 4).alias("score"))
+
+
+# trained models: no SQL trains the same
+
+
+def _trained(spark, d, kind: T.QuantizerType, **more) -> DataFrame:
+    p = T.FieldParameters(dimensions=64, quantization=kind, num_centroids=16, num_iterations=4, **more)
+    schema = T.Schema([T.Field("colbert", T.DataType.TENSOR, [T.FieldRole.COLBERT], p)])
+    docs = _corpus(spark, d).select("doc_id", "colbert")
+    index = Index.create(spark, _scratch(spark), schema)
+    index.train(docs)
+    index.add(0, docs)
+    return Index.open(spark, index.path).search(0, Query(_vector(spark, d)), 10, T.SearchOptions(k_top_centroids=4))
+
+
+@query("kmeans_trained_search")
+def _(spark, d):
+    return _trained(spark, d, T.QuantizerType.NONE)
+
+
+@query("pq_trained_search")
+def _(spark, d):
+    return _trained(spark, d, T.QuantizerType.PRODUCT_ENCODER, num_subquantizers=16, nbits=6)
+
+
+@query("binarizer_trained_search")
+def _(spark, d):
+    return _trained(spark, d, T.QuantizerType.BINARIZER, nbits=2, residual_mode="residual", quantile_source="values")
