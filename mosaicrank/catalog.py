@@ -50,7 +50,7 @@ def query(name: str, sql: str | None = None):
 
 EMB = "emb AS (SELECT vec_id, vec_id // 5 AS doc_id, CAST(vec_id % 5 AS INTEGER) AS token_idx, CAST(embedding AS DOUBLE[]) AS v, label FROM embeddings)"
 CEN = (
-    "cen AS (SELECT cid, list(m ORDER BY pos) AS v FROM (SELECT label AS cid, pos, round(avg(x), 6) AS m FROM "
+    "cen AS (SELECT cid, list(m ORDER BY pos) AS v FROM (SELECT label AS cid, pos, round(avg(x), 6) + 0.0 AS m FROM "
     "(SELECT label, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM emb) GROUP BY label, pos) GROUP BY cid)"
 )
 ASG = "asg AS (SELECT * FROM (SELECT e.*, c.cid, c.v AS cv, list_dot_product(e.v, c.v) AS s, row_number() OVER (PARTITION BY vec_id ORDER BY list_dot_product(e.v, c.v) DESC, cid) AS rn FROM emb e, cen c) WHERE rn = 1)"
@@ -65,7 +65,7 @@ PROBE = (
 PLAID = "plaid AS (SELECT doc_id, sum(s) AS score FROM (SELECT doc_id, q, max(s) AS s FROM codes JOIN qt USING (cid) GROUP BY doc_id, q) GROUP BY doc_id)"
 MAXSIM = "ms AS (SELECT doc_id, sum(greatest(b, 0)) AS score FROM (SELECT d.doc_id, q.vec_id AS q, max(list_dot_product(q.v, d.v) / sqrt(list_dot_product(d.v, d.v))) AS b FROM emb d, emb q WHERE q.vec_id < 4 GROUP BY ALL) GROUP BY doc_id)"
 RES = "res AS (SELECT vec_id, generate_subscripts(v, 1) - 1 AS dim, unnest(v) - unnest(cv) AS x FROM asg)"
-MEANS = "means AS (SELECT dim, round(avg(x), 6) AS m FROM res GROUP BY dim), sorted AS (SELECT m, row_number() OVER (ORDER BY m, dim) - 1 AS i FROM means)"
+MEANS = "means AS (SELECT dim, round(avg(x), 6) + 0.0 AS m FROM res GROUP BY dim), sorted AS (SELECT m, row_number() OVER (ORDER BY m, dim) - 1 AS i FROM means)"
 
 
 def _with(*parts: str) -> str:
@@ -124,7 +124,7 @@ def grouped(spark: SparkSession, sf_dir: str, v: str = "v") -> DataFrame:
 # vectors
 
 
-@query("mv_brute_maxsim_topk", _with(EMB, MAXSIM) + "SELECT doc_id, round(score, 4) AS score FROM ms ORDER BY ms.score DESC, doc_id LIMIT 10")
+@query("mv_brute_maxsim_topk", _with(EMB, MAXSIM) + "SELECT doc_id, round(score, 4) + 0.0 AS score FROM ms ORDER BY ms.score DESC, doc_id LIMIT 10")
 def _(spark, d):
     q = query_matrix(spark, d).tolist()
     scored = tokens(spark, d).select("doc_id", F.posexplode(F.array(*[vec.dot(vec.normalize("v"), F.array(*[F.lit(x) for x in row])) for row in q])).alias("q", "s"))
@@ -132,7 +132,7 @@ def _(spark, d):
     return S.top(best, 10).select("doc_id", F.round("score", 4).alias("score"))
 
 
-@query("mv_brute_maxsim_kernel", _with(EMB, MAXSIM) + "SELECT doc_id, round(score, 4) AS score FROM ms")
+@query("mv_brute_maxsim_kernel", _with(EMB, MAXSIM) + "SELECT doc_id, round(score, 4) + 0.0 AS score FROM ms")
 def _(spark, d):
     q = query_matrix(spark, d)
 
@@ -148,17 +148,17 @@ def _pairs(spark, d):
     return t.select("vec_id", "v").join(F.broadcast(t.where("vec_id = 0").select(F.col("v").alias("w"), F.lit(1).alias("one"))), F.lit(1) == F.col("one"))
 
 
-@query("dot_product", _with(EMB) + "SELECT a.vec_id, round(list_dot_product(a.v, b.v), 4) AS value FROM emb a, emb b WHERE b.vec_id = 0")
+@query("dot_product", _with(EMB) + "SELECT a.vec_id, round(list_dot_product(a.v, b.v), 4) + 0.0 AS value FROM emb a, emb b WHERE b.vec_id = 0")
 def _(spark, d):
     return _pairs(spark, d).select("vec_id", F.round(vec.dot("v", "w"), 4).alias("value"))
 
 
-@query("euclidean_distance", _with(EMB) + "SELECT a.vec_id, round(list_distance(a.v, b.v), 4) AS value FROM emb a, emb b WHERE b.vec_id = 0")
+@query("euclidean_distance", _with(EMB) + "SELECT a.vec_id, round(list_distance(a.v, b.v), 4) + 0.0 AS value FROM emb a, emb b WHERE b.vec_id = 0")
 def _(spark, d):
     return _pairs(spark, d).select("vec_id", F.round(vec.euclidean("v", "w"), 4).alias("value"))
 
 
-@query("l2_norm", _with(EMB) + "SELECT vec_id, round(sqrt(list_dot_product(v, v)), 4) AS value FROM emb")
+@query("l2_norm", _with(EMB) + "SELECT vec_id, round(sqrt(list_dot_product(v, v)), 4) + 0.0 AS value FROM emb")
 def _(spark, d):
     return tokens(spark, d).select("vec_id", F.round(vec.l2_norm("v"), 4).alias("value"))
 
@@ -202,7 +202,7 @@ def _(spark, d):
     return assigned(spark, d).where("vec_id < 50").select("vec_id", F.posexplode("cv").alias("dim", "value"))
 
 
-@query("coarse_topk", _with(EMB, CEN) + "SELECT vec_id, CAST(rn AS INTEGER) AS rank, CAST(cid AS INTEGER) AS cid, round(s, 4) AS score FROM (SELECT e.vec_id, c.cid, list_dot_product(e.v, c.v) AS s, row_number() OVER (PARTITION BY vec_id ORDER BY list_dot_product(e.v, c.v) DESC, cid) AS rn FROM emb e, cen c) WHERE rn <= 3")
+@query("coarse_topk", _with(EMB, CEN) + "SELECT vec_id, CAST(rn AS INTEGER) AS rank, CAST(cid AS INTEGER) AS cid, round(s, 4) + 0.0 AS score FROM (SELECT e.vec_id, c.cid, list_dot_product(e.v, c.v) AS s, row_number() OVER (PARTITION BY vec_id ORDER BY list_dot_product(e.v, c.v) DESC, cid) AS rn FROM emb e, cen c) WHERE rn <= 3")
 def _(spark, d):
     c = F.broadcast(centroid_frame(spark, d).select(F.col("cid").cast("int"), F.col("v").alias("cv"), F.lit(1).alias("one")))
     scored = tokens(spark, d).join(c, F.lit(1) == F.col("one")).select("vec_id", "cid", vec.dot("v", "cv").alias("s"))
@@ -336,14 +336,14 @@ def _(spark, d):
 # probing and candidates
 
 
-@query("probe_token_topk", _with(EMB, CEN, QS, PROBE.split(", best")[0]) + "SELECT q, CAST(cid AS INTEGER) AS cid, round(s, 4) AS score FROM tops")
+@query("probe_token_topk", _with(EMB, CEN, QS, PROBE.split(", best")[0]) + "SELECT q, CAST(cid AS INTEGER) AS cid, round(s, 4) + 0.0 AS score FROM tops")
 def _(spark, d):
     _, rows = score_table(spark, d)
     w = Window.partitionBy("q").orderBy(F.desc("s"), "cid")
     return rows.withColumn("rn", F.row_number().over(w)).where("rn <= 2").select("q", "cid", F.round("s", 4).alias("score"))
 
 
-@query("probe_centroid_max", _with(EMB, CEN, QS, PROBE.split(", probes")[0]) + "SELECT CAST(cid AS INTEGER) AS cid, round(s, 4) AS score FROM best")
+@query("probe_centroid_max", _with(EMB, CEN, QS, PROBE.split(", probes")[0]) + "SELECT CAST(cid AS INTEGER) AS cid, round(s, 4) + 0.0 AS score FROM best")
 def _(spark, d):
     m, _ = score_table(spark, d)
     return spark.createDataFrame(probed(m, 2, 10**6), "cid int, score double").withColumn("score", F.round("score", 4))
@@ -373,12 +373,12 @@ def _(spark, d):
 # scores
 
 
-@query("plaid_centroid_score", _with(EMB, CEN, ASG, QS, CODES, PLAID) + "SELECT doc_id, round(score, 4) AS score FROM plaid")
+@query("plaid_centroid_score", _with(EMB, CEN, ASG, QS, CODES, PLAID) + "SELECT doc_id, round(score, 4) + 0.0 AS score FROM plaid")
 def _(spark, d):
     return S.plaid_scores(codes(spark, d), score_table(spark, d)[1]).select("doc_id", F.round("score", 4).alias("score"))
 
 
-@query("plaid_kernel_score", _with(EMB, CEN, ASG, QS, CODES, PLAID) + "SELECT doc_id, round(score, 4) AS score FROM plaid")
+@query("plaid_kernel_score", _with(EMB, CEN, ASG, QS, CODES, PLAID) + "SELECT doc_id, round(score, 4) + 0.0 AS score FROM plaid")
 def _(spark, d):
     m, _ = score_table(spark, d)
     listed = codes(spark, d).groupBy("doc_id").agg(F.collect_list("cid").alias("codes"))
@@ -388,19 +388,19 @@ def _(spark, d):
 BEST = "mx AS (SELECT cid, greatest(max(s), 0) AS s FROM qt GROUP BY cid)"
 
 
-@query("max_score_by_centroid", _with(EMB, CEN, QS, BEST) + "SELECT CAST(cid AS INTEGER) AS cid, round(s, 4) AS score FROM mx")
+@query("max_score_by_centroid", _with(EMB, CEN, QS, BEST) + "SELECT CAST(cid AS INTEGER) AS cid, round(s, 4) + 0.0 AS score FROM mx")
 def _(spark, d):
     rows = score_table(spark, d)[1]
     return rows.groupBy("cid").agg(F.round(F.greatest(F.max("s"), F.lit(0.0)), 4).alias("score"))
 
 
-@query("plaid_threshold_score", _with(EMB, CEN, ASG, QS, CODES, BEST) + "SELECT doc_id, round(sum(s), 4) AS score FROM codes JOIN mx USING (cid) WHERE s >= 0.03 GROUP BY doc_id")
+@query("plaid_threshold_score", _with(EMB, CEN, ASG, QS, CODES, BEST) + "SELECT doc_id, round(sum(s), 4) + 0.0 AS score FROM codes JOIN mx USING (cid) WHERE s >= 0.03 GROUP BY doc_id")
 def _(spark, d):
     best = score_table(spark, d)[1].groupBy("cid").agg(F.greatest(F.max("s"), F.lit(0.0)).alias("s")).where("s >= 0.03")
     return codes(spark, d).join(F.broadcast(best), "cid").groupBy("doc_id").agg(F.round(F.sum("s"), 4).alias("score"))
 
 
-@query("missing_context_zero_score", _with(EMB, MAXSIM) + "SELECT doc_id, round(coalesce(ms.score, 0), 4) AS score FROM documents LEFT JOIN ms USING (doc_id)")
+@query("missing_context_zero_score", _with(EMB, MAXSIM) + "SELECT doc_id, round(coalesce(ms.score, 0), 4) + 0.0 AS score FROM documents LEFT JOIN ms USING (doc_id)")
 def _(spark, d):
     score = vec.max_sim(query_matrix(spark, d).tolist(), F.transform("tokens", vec.normalize))
     scored = grouped(spark, d).select("doc_id", score.alias("score"))
@@ -467,7 +467,7 @@ def _arrow_matrix(name: str, kernel, result: str, column: str = "v"):
     return run(column).alias(name)
 
 
-@query("binarizer_decode", _with(EMB, CEN, ASG, RES, MEANS, _W) + "SELECT vec_id, CAST(dim AS INTEGER) AS dim, round(x, 6) AS value FROM deq WHERE vec_id < 100")
+@query("binarizer_decode", _with(EMB, CEN, ASG, RES, MEANS, _W) + "SELECT vec_id, CAST(dim AS INTEGER) AS dim, round(x, 6) + 0.0 AS value FROM deq WHERE vec_id < 100")
 def _(spark, d):
     b = _binarizer(spark, d)
     rows = tokens(spark, d).where("vec_id < 100").select("vec_id", _arrow_matrix("x", lambda m: b.weights[b.buckets(m)], "array<double>"))
@@ -484,7 +484,7 @@ def _(spark, d):
     return tokens(spark, d).select("vec_id", _arrow_matrix("code", lambda m: [x.tobytes().hex() for x in b.encode(m)], "string"))
 
 
-@query("maxsim_quantized", _with(EMB, CEN, ASG, RES, MEANS, _W, "dv AS (SELECT doc_id, vec_id, list(x ORDER BY dim) AS v FROM deq GROUP BY doc_id, vec_id)") + "SELECT doc_id, round(sum(greatest(b, 0)), 4) AS score FROM (SELECT t.doc_id, q.vec_id, max(list_dot_product(q.v, t.v) / sqrt(list_dot_product(t.v, t.v))) AS b FROM dv t, emb q WHERE q.vec_id < 4 GROUP BY ALL) GROUP BY doc_id")
+@query("maxsim_quantized", _with(EMB, CEN, ASG, RES, MEANS, _W, "dv AS (SELECT doc_id, vec_id, list(x ORDER BY dim) AS v FROM deq GROUP BY doc_id, vec_id)") + "SELECT doc_id, round(sum(greatest(b, 0)), 4) + 0.0 AS score FROM (SELECT t.doc_id, q.vec_id, max(list_dot_product(q.v, t.v) / sqrt(list_dot_product(t.v, t.v))) AS b FROM dv t, emb q WHERE q.vec_id < 4 GROUP BY ALL) GROUP BY doc_id")
 def _(spark, d):
     b, q = _binarizer(spark, d), query_matrix(spark, d)
 
@@ -517,7 +517,7 @@ def _(spark, d):
     return _explode_codes(spark, d).select("vec_id", F.posexplode("codes").alias("part", "code"))
 
 
-@query("pq_decode", _with(EMB, PQ) + "SELECT vec_id, CAST(part * 8 + generate_subscripts(c, 1) - 1 AS INTEGER) AS dim, round(unnest(c), 5) AS value FROM pq WHERE vec_id < 100")
+@query("pq_decode", _with(EMB, PQ) + "SELECT vec_id, CAST(part * 8 + generate_subscripts(c, 1) - 1 AS INTEGER) AS dim, round(unnest(c), 5) + 0.0 AS value FROM pq WHERE vec_id < 100")
 def _(spark, d):
     pq = _product(spark, d)
     decode = lambda m: np.concatenate([pq.books[j][m[:, j]] for j in range(8)], axis=1)
@@ -525,7 +525,7 @@ def _(spark, d):
     return rows.select("vec_id", F.posexplode("x").alias("dim", "value")).withColumn("value", F.round("value", 5))
 
 
-@query("pq_adc_score", _with(EMB, PQ, "q AS (SELECT part, x FROM sub WHERE vec_id = 0)") + "SELECT vec_id, round(sum(list_dot_product(q.x, pq.c)), 4) AS score FROM pq JOIN q USING (part) GROUP BY vec_id")
+@query("pq_adc_score", _with(EMB, PQ, "q AS (SELECT part, x FROM sub WHERE vec_id = 0)") + "SELECT vec_id, round(sum(list_dot_product(q.x, pq.c)), 4) + 0.0 AS score FROM pq JOIN q USING (part) GROUP BY vec_id")
 def _(spark, d):
     pq = _product(spark, d)
     t = pq.tables(query_matrix(spark, d, 1)[0])
@@ -586,23 +586,23 @@ def _rounded(found: DataFrame) -> DataFrame:
     return found.withColumn("score", F.round("score", 4))
 
 
-@query("two_phase_search", _with(*SEARCH, FIRST) + "SELECT doc_id, round(ms.score, 4) AS score FROM firstpass JOIN ms USING (doc_id) ORDER BY ms.score DESC, doc_id LIMIT 10")
+@query("two_phase_search", _with(*SEARCH, FIRST) + "SELECT doc_id, round(ms.score, 4) + 0.0 AS score FROM firstpass JOIN ms USING (doc_id) ORDER BY ms.score DESC, doc_id LIMIT 10")
 def _(spark, d):
     return _rounded(_index(spark, d).search(0, Query(_vector(spark, d)), 10, OPTS).select("doc_id", "score"))
 
 
-@query("search_with_metadata", _with(*SEARCH, FIRST) + "SELECT doc_id, round(ms.score, 4) AS score, lang, n_chars FROM firstpass JOIN ms USING (doc_id) JOIN documents USING (doc_id) ORDER BY ms.score DESC, doc_id LIMIT 10")
+@query("search_with_metadata", _with(*SEARCH, FIRST) + "SELECT doc_id, round(ms.score, 4) + 0.0 AS score, lang, n_chars FROM firstpass JOIN ms USING (doc_id) JOIN documents USING (doc_id) ORDER BY ms.score DESC, doc_id LIMIT 10")
 def _(spark, d):
     return _rounded(_index(spark, d).search(0, Query(_vector(spark, d)), 10, OPTS))
 
 
-@query("search_and_filter", _with(*SEARCH) + "SELECT doc_id, round(ms.score, 4) AS score FROM cand JOIN ms USING (doc_id) JOIN documents USING (doc_id) WHERE lang = 'en' ORDER BY ms.score DESC, doc_id LIMIT 10")
+@query("search_and_filter", _with(*SEARCH) + "SELECT doc_id, round(ms.score, 4) + 0.0 AS score FROM cand JOIN ms USING (doc_id) JOIN documents USING (doc_id) WHERE lang = 'en' ORDER BY ms.score DESC, doc_id LIMIT 10")
 def _(spark, d):
     root = AndQueryNode([_vector(spark, d), _term("lang", "en")])
     return _rounded(_index(spark, d).search(0, Query(root), 10, T.SearchOptions(n_probe=2)).select("doc_id", "score"))
 
 
-@query("search_or_filter", _with(*SEARCH) + "SELECT doc_id, round(ms.score, 4) AS score FROM ms JOIN documents USING (doc_id) WHERE lang = 'de' OR doc_id IN (SELECT doc_id FROM cand) ORDER BY ms.score DESC, doc_id LIMIT 10")
+@query("search_or_filter", _with(*SEARCH) + "SELECT doc_id, round(ms.score, 4) + 0.0 AS score FROM ms JOIN documents USING (doc_id) WHERE lang = 'de' OR doc_id IN (SELECT doc_id FROM cand) ORDER BY ms.score DESC, doc_id LIMIT 10")
 def _(spark, d):
     root = OrQueryNode([_vector(spark, d), _term("lang", "de")])
     return _rounded(_index(spark, d).search(0, Query(root), 10, T.SearchOptions(n_probe=2, num_second_pass=10**6)).select("doc_id", "score"))
@@ -659,7 +659,7 @@ def _(spark, d):
     return _index(spark, d).get_metadata(0, [0, 3, 999999])
 
 
-@query("batch_search", _with(EMB) + "SELECT q AS query_id, CAST(rn AS INTEGER) AS rank, doc_id, round(score, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id) AS rn FROM (SELECT q.vec_id AS q, t.doc_id, greatest(max(list_dot_product(q.v, t.v) / sqrt(list_dot_product(t.v, t.v))), 0) AS score FROM emb q, emb t WHERE q.vec_id < 32 GROUP BY ALL)) WHERE rn <= 5")
+@query("batch_search", _with(EMB) + "SELECT q AS query_id, CAST(rn AS INTEGER) AS rank, doc_id, round(score, 4) + 0.0 AS score FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id) AS rn FROM (SELECT q.vec_id AS q, t.doc_id, greatest(max(list_dot_product(q.v, t.v) / sqrt(list_dot_product(t.v, t.v))), 0) AS score FROM emb q, emb t WHERE q.vec_id < 32 GROUP BY ALL)) WHERE rn <= 5")
 def _(spark, d):
     q = query_matrix(spark, d, 32)
 

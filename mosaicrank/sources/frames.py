@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .schema import SPARK_TYPES, DataType, Document, Schema, millis
+from .schema import SPARK_TYPES, DataType, Document, Field, Schema, millis
 
 
 def validate(schema: Schema, docs: Iterable[Document]) -> None:
@@ -49,18 +49,16 @@ def read_json_documents(spark: SparkSession, schema: Schema, path: str) -> DataF
     """One document in JSON a line, parsed by Spark."""
     kind = "id bigint, fields array<struct<name string, data_type string, num_tensors int, value string>>"
     parsed = spark.read.text(path).select(F.from_json("value", kind).alias("d")).select("d.*").where("id is not null")
-    columns = []
-    for f in schema.fields:
-        raw = F.get(F.filter("fields", lambda x, n=f.name: x["name"] == n), 0)["value"]
+
+    def column(f: Field) -> Column:
+        raw = F.get(F.filter("fields", lambda x: x["name"] == f.name), 0)["value"]
         if f.is_tensor:
             flat, d = F.from_json(raw, "array<float>"), max(f.parameters.dimensions, 1)
-            rows = F.transform(F.sequence(F.lit(0), (F.size(flat) / d).cast("int") - 1), lambda i, flat=flat, d=d: F.slice(flat, i * d + 1, d))
-            columns.append(F.when(F.size(flat) >= d, rows).alias(f.name))
-        elif f.data_type is DataType.DATETIME:
-            columns.append(F.timestamp_millis(raw.cast("bigint")).alias(f.name))
-        else:
-            columns.append(raw.cast(SPARK_TYPES[f.data_type]).alias(f.name))
-    return documents_frame(spark, schema, parsed.select(F.col("id").alias("doc_id"), *columns))
+            rows = F.transform(F.sequence(F.lit(0), (F.size(flat) / d).cast("int") - 1), lambda i: F.slice(flat, i * d + 1, d))
+            return F.when(F.size(flat) >= d, rows)
+        return F.timestamp_millis(raw.cast("bigint")) if f.data_type is DataType.DATETIME else raw.cast(SPARK_TYPES[f.data_type])
+
+    return documents_frame(spark, schema, parsed.select(F.col("id").alias("doc_id"), *[column(f).alias(f.name) for f in schema.fields]))
 
 
 def to_json_rows(results: DataFrame) -> DataFrame:
