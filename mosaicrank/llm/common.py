@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -40,6 +41,9 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_at = path
+    # Spark keeps the shuffle files of a finished job until the driver's collector finds it unused
+    gc.collect()
+    spark._jvm.System.gc()
     return out
 
 

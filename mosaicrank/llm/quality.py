@@ -173,7 +173,9 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
 
 
 def score(docs: DataFrame, model: Trees, name: str = "score") -> DataFrame:
-    """docs with a column of scores; all other columns stay."""
+    """docs with a column of scores, last; all other columns stay. Where docs has a column of that
+    name, underscores are added to the new one's."""
+    name = free_name(docs, name)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a fixed number of trees and nodes
 
     def batches(it):

@@ -191,7 +191,9 @@ def train(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE,
 
 
 def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
-    """docs with a column of scores; all other columns stay."""
+    """docs with a column of scores, last; all other columns stay. Where docs has a column of that
+    name, underscores are added to the new one's."""
+    name = free_name(docs, name)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most MAX_FEATURES weights
 
     def batches(it):
@@ -213,6 +215,8 @@ def op10_toxicity_nnpu(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """docs without those that score at or over the threshold."""
-    name = free_name(docs, "toxicity")
-    return score(docs, train(docs, labels), name).where(F.col(name) < threshold).select(*docs.columns)
+    """docs without those that score at or over the threshold. Documents without any evidence,
+    which score as an empty text does, stay whatever the prior is."""
+    name, model = free_name(docs, "toxicity"), train(docs, labels)
+    base = float(model.scores([b""], {})[0])
+    return score(docs, model, name).where((F.col(name) < threshold) | (F.col(name) <= base)).select(*docs.columns)
