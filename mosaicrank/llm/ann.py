@@ -6,10 +6,11 @@ those with the smallest hashes), then alternates beam-search encoding with an up
 codebook against what the others leave. Every row is encoded, by a beam search of BEAM partial codes, with the norms of
 itself and of its approximation stored. A query's table of inner products with all codewords
 gives scores by lookups; the RERANK best of each slot then get exact inner products in double
-precision, and the best of those are returned.
+precision, and the best of those are returned. Equal vectors of a slot are one candidate in this,
+so that none of them takes the place of another; after the cut they stand for their rows.
 
 Zero vectors take no part either. Every row is indexed and every query meets every slot, so a
-result can only miss a neighbour that the lookups rank under RERANK within its slot.
+result can only miss a neighbour that the lookups rank under RERANK distinct vectors of its slot.
 """
 
 from __future__ import annotations
@@ -90,17 +91,45 @@ def train(x: np.ndarray, codebooks: int = CODEBOOKS, codewords: int = CODEWORDS,
     return books
 
 
+def distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of one row of each distinct vector, and for each row the number of its vector."""
+    if not x.shape[1]:
+        return np.zeros(min(len(x), 1), np.int64), np.zeros(len(x), np.int64)
+    whole = np.ascontiguousarray(x + 0.0).view(f"V{x.shape[1] * x.itemsize}").ravel()  # no negative zeros
+    _, first, of = np.unique(whole, return_index=True, return_inverse=True)
+    return first, of
+
+
 class Index:
-    """A slot's candidates: codes, stored norms, and the vectors for reranking."""
+    """A slot's candidates: the distinct vectors with codes and stored norms, and the rows of each
+    by rising id (rows order[start[i] : start[i + 1]] have vector i)."""
 
     def __init__(self, ids: np.ndarray, x: np.ndarray, books: np.ndarray):
-        self.ids, self.x = ids, x
+        first, of = distinct(x)
+        self.ids, self.x = ids, (x := x[first])
+        self.order = np.lexsort((ids, of))
+        self.sorted = ids[self.order]
+        self.start = np.searchsorted(of[self.order], np.arange(len(x) + 1))
         self.norm = np.sqrt(np.einsum("ij,ij->i", x, x))
         unit = (x / self.norm[:, None]).astype(np.float32)  # directions are coded, lengths stored
         self.codes = encode(unit, books)
         near = decode(self.codes, books)
         self.scale = (self.norm / np.maximum(np.sqrt(np.einsum("ij,ij->i", near, near)), 1e-12)).astype(np.float32)
 
+    def rows_of(self, some: np.ndarray, but: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Rows with the vectors some and other ids than but, the k smallest ids of each, and for
+        each row the place of its vector in some."""
+        start, n = self.start[some], self.start[some + 1] - self.start[some]
+        single = np.flatnonzero((n == 1) & (self.sorted[start] != but))
+        rows, at = [self.order[start[single]]], [single]
+        for i in np.flatnonzero(n > 1).tolist():
+            a, z = start[i], start[i] + n[i]
+            own = self.sorted[a:z]  # those of but lie together
+            lo, hi = np.searchsorted(own, but), np.searchsorted(own, but, "right")
+            rows += [self.order[a : a + min(lo, k)], self.order[a + hi : min(z, a + hi + max(k - lo, 0))]]
+            at.append(np.full(len(rows[-2]) + len(rows[-1]), i))
+        return np.concatenate(rows), np.concatenate(at)
+
 
 def answer_queries(index: Index, books: np.ndarray, q_ids: np.ndarray, q: np.ndarray, k: int, rerank: int, step: int = 128):
     rows, cols, scores = [], [], []
@@ -116,11 +145,12 @@ def answer_queries(index: Index, books: np.ndarray, q_ids: np.ndarray, q: np.nda
         for b in range(len(mine)):
             # two more than asked for, so that the query's own row can't take a place
             some = np.argpartition(-rough[:, b], rerank)[: rerank + 1] if n > rerank + 1 else np.arange(n)
-            some = some[index.ids[some] != q_ids[i + b]]
             exact = (index.x[some] * mine[b]).sum(axis=1)
-            keep = best_of(exact, index.ids[some], k)
+            copies, at = index.rows_of(some, q_ids[i + b], k)
+            exact = exact[at]
+            keep = best_of(exact, index.ids[copies], k)
             rows.append(np.full(len(keep), i + b))
-            cols.append(some[keep])
+            cols.append(copies[keep])
             scores.append(exact[keep])
     join = lambda v, t: np.concatenate(v).astype(t) if v else np.empty(0, t)
     return join(rows, np.int64), join(cols, np.int64), join(scores, np.float64)

@@ -116,6 +116,23 @@ def test_ann_recall_of_the_query(spark):
     assert hits / total >= 0.9 and len(got) == total
 
 
+def test_ann_of_many_copies_keeps_the_smallest_ids():
+    # a third of the rows are one vector, some ids repeat; the query is one of the copies, or near them
+    r = np.random.default_rng(0)
+    x, ids = r.normal(size=(3000, 16)), r.permutation(3000) // 2
+    at = r.permutation(3000)[:1000]
+    x[at] = x[at[0]]
+    x[at[:500], 3] = -0.0
+    x[at[500:], 3] = 0.0
+    books = A.train((x[:1500] / np.linalg.norm(x[:1500], axis=1)[:, None]).astype(np.float32), codebooks=4, codewords=32)
+    index = A.Index(ids, x, books)
+    for q_id, q in [(int(ids[at].min()), x[at[0]]), (-1, x[at[0]]), (int(ids[at[5]]), x[at[0]] + 0.01 * r.normal(size=16))]:
+        _, rows, scores = A.answer_queries(index, books, np.array([q_id]), q[None], 20, 256)
+        want = sorted(i for i in ids[at] if i != q_id)[:20]
+        assert ids[rows].tolist() == want
+        assert np.allclose(scores, x[rows] @ q)
+
+
 def test_empty(spark, tmp_path):
     df = written(spark.createDataFrame([], "vec_id bigint, embedding array<double>"), tmp_path / "v")
     assert E.exact_topk(df, F.col("vec_id") % 20 == 0).count() == 0
