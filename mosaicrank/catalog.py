@@ -46,6 +46,17 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+def bounded(name: str, sql: str, bound: int):
+    """Registers a query whose SQL ends in a bound on vec_id, and as name_all the same over all vectors."""
+
+    def register(f):
+        query(name, sql)(lambda spark, d: f(spark, d).where(F.col("vec_id") < bound))
+        query(f"{name}_all", sql.removesuffix(f" WHERE vec_id < {bound}"))(f)
+        return f
+
+    return register
+
+
 # fixtures
 
 EMB = "emb AS (SELECT vec_id, vec_id // 5 AS doc_id, CAST(vec_id % 5 AS INTEGER) AS token_idx, CAST(embedding AS DOUBLE[]) AS v, label FROM embeddings)"
@@ -197,9 +208,9 @@ def _(spark, d):
     return assigned(spark, d).select("vec_id", F.posexplode(vec.subtract("v", "cv")).alias("dim", "value")).withColumn("value", F.round("value", 4) + 0.0)
 
 
-@query("centroid_reconstruct", _with(EMB, CEN, ASG) + "SELECT vec_id, CAST(generate_subscripts(cv, 1) - 1 AS INTEGER) AS dim, unnest(cv) AS value FROM asg WHERE vec_id < 50")
+@bounded("centroid_reconstruct", _with(EMB, CEN, ASG) + "SELECT vec_id, CAST(generate_subscripts(cv, 1) - 1 AS INTEGER) AS dim, unnest(cv) AS value FROM asg WHERE vec_id < 50", 50)
 def _(spark, d):
-    return assigned(spark, d).where("vec_id < 50").select("vec_id", F.posexplode("cv").alias("dim", "value"))
+    return assigned(spark, d).select("vec_id", F.posexplode("cv").alias("dim", "value"))
 
 
 @query("coarse_topk", _with(EMB, CEN) + "SELECT vec_id, CAST(rn AS INTEGER) AS rank, CAST(cid AS INTEGER) AS cid, round(s, 4) + 0.0 AS score FROM (SELECT e.vec_id, c.cid, list_dot_product(e.v, c.v) AS s, row_number() OVER (PARTITION BY vec_id ORDER BY list_dot_product(e.v, c.v) DESC, cid) AS rn FROM emb e, cen c) WHERE rn <= 3")
@@ -445,10 +456,10 @@ def _bucket_sql(n: int) -> str:
 
 for _bits in (1, 2, 4):
 
-    @query(f"binarize_buckets_b{_bits}", _bucket_sql(1 << _bits))
+    @bounded(f"binarize_buckets_b{_bits}", _bucket_sql(1 << _bits), 100)
     def _(spark, d, bits=_bits):
         cuts, _ = _quantiles(spark, d, bits)
-        return tokens(spark, d).where("vec_id < 100").select("vec_id", F.posexplode("v").alias("dim", "x")).select("vec_id", "dim", vec.bucket(F.col("x"), cuts).alias("bucket"))
+        return tokens(spark, d).select("vec_id", F.posexplode("v").alias("dim", "x")).select("vec_id", "dim", vec.bucket(F.col("x"), cuts).alias("bucket"))
 
 
 _W = "cuts AS (SELECT m FROM sorted WHERE i IN (16, 32, 48)), w AS (SELECT list(m ORDER BY i) AS w FROM sorted WHERE i IN (0, 16, 32, 48)), flat AS (SELECT vec_id, doc_id, generate_subscripts(v, 1) - 1 AS dim, unnest(v) AS x FROM emb), deq AS (SELECT vec_id, doc_id, dim, (SELECT w FROM w)[1 + (SELECT count(*) FROM cuts WHERE m <= x)] AS x FROM flat)"
@@ -467,10 +478,10 @@ def _arrow_matrix(name: str, kernel, result: str, column: str = "v"):
     return run(column).alias(name)
 
 
-@query("binarizer_decode", _with(EMB, CEN, ASG, RES, MEANS, _W) + "SELECT vec_id, CAST(dim AS INTEGER) AS dim, round(x, 6) + 0.0 AS value FROM deq WHERE vec_id < 100")
+@bounded("binarizer_decode", _with(EMB, CEN, ASG, RES, MEANS, _W) + "SELECT vec_id, CAST(dim AS INTEGER) AS dim, round(x, 6) + 0.0 AS value FROM deq WHERE vec_id < 100", 100)
 def _(spark, d):
     b = _binarizer(spark, d)
-    rows = tokens(spark, d).where("vec_id < 100").select("vec_id", _arrow_matrix("x", lambda m: b.weights[b.buckets(m)], "array<double>"))
+    rows = tokens(spark, d).select("vec_id", _arrow_matrix("x", lambda m: b.weights[b.buckets(m)], "array<double>"))
     return rows.select("vec_id", F.posexplode("x").alias("dim", "value")).withColumn("value", F.round("value", 6))
 
 
@@ -517,11 +528,11 @@ def _(spark, d):
     return _explode_codes(spark, d).select("vec_id", F.posexplode("codes").alias("part", "code"))
 
 
-@query("pq_decode", _with(EMB, PQ) + "SELECT vec_id, CAST(part * 8 + generate_subscripts(c, 1) - 1 AS INTEGER) AS dim, round(unnest(c), 5) + 0.0 AS value FROM pq WHERE vec_id < 100")
+@bounded("pq_decode", _with(EMB, PQ) + "SELECT vec_id, CAST(part * 8 + generate_subscripts(c, 1) - 1 AS INTEGER) AS dim, round(unnest(c), 5) + 0.0 AS value FROM pq WHERE vec_id < 100", 100)
 def _(spark, d):
     pq = _product(spark, d)
     decode = lambda m: np.concatenate([pq.books[j][m[:, j]] for j in range(8)], axis=1)
-    rows = _explode_codes(spark, d).where("vec_id < 100").select("vec_id", _arrow_matrix("x", decode, "array<double>", "codes"))
+    rows = _explode_codes(spark, d).select("vec_id", _arrow_matrix("x", decode, "array<double>", "codes"))
     return rows.select("vec_id", F.posexplode("x").alias("dim", "value")).withColumn("value", F.round("value", 5))
 
 
