@@ -76,8 +76,6 @@ def train(x: np.ndarray, codebooks: int = CODEBOOKS, codewords: int = CODEWORDS,
         own = np.argmax(rest @ books[-1].T - 0.5 * np.einsum("ij,ij->i", books[-1], books[-1]), axis=1)
         rest -= books[-1][own]
     books = np.stack(books)
-    if len(x) < 8 * codewords:  # too few rows to fit the codebooks together
-        return books
     for _ in range(rounds):
         codes = encode(x, books)
         rest = x - decode(codes, books)

@@ -133,6 +133,14 @@ def test_ann_of_many_copies_keeps_the_smallest_ids():
         assert np.allclose(scores, x[rows] @ q)
 
 
+def test_small_samples_train_the_codebooks_together():
+    x = np.random.default_rng(3).normal(size=(1000, 32)).astype(np.float32)
+    plain, joint = (A.train(x, codebooks=4, rounds=n) for n in (0, 1))
+    error = lambda books: np.square(x - A.decode(A.encode(x, books), books)).sum()
+    assert error(joint) < 0.95 * error(plain)
+    assert np.isfinite(A.train(x[:1], codebooks=4)).all()
+
+
 def test_empty(spark, tmp_path):
     df = written(spark.createDataFrame([], "vec_id bigint, embedding array<double>"), tmp_path / "v")
     assert E.exact_topk(df, F.col("vec_id") % 20 == 0).count() == 0
