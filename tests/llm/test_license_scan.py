@@ -71,3 +71,14 @@ def test_edge_cases(spark, tmp_path):
     assert L.scan_licenses(docs).count() == 43
     assert L.scan_licenses(docs, {"none": " ! ", "a": "one long text", "b": "one long text"}).where("n_licenses = 2").count() == 1
     assert L.scan_licenses(empty_docs(spark, tmp_path / "e")).count() == 0
+
+
+def test_common_grants_are_found_without_a_licence_line():
+    texts = {
+        "mit-grant": 'Copyright (c) 2020 A. Person\n\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the "Software"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software, and to permit persons to whom the Software is\nfurnished to do so, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all\ncopies or substantial portions of the Software.',
+        "lgpl-header": "# under the terms of the GNU Lesser General Public\n# License as published by the Free Software Foundation; version 2.1",
+        "agpl-header": "// under the terms of the GNU Affero General Public License as\n// published by the Free Software Foundation, version 3",
+        "cc0-1.0-waiver": "The author has waived all copyright and related or neighboring rights to this work.",
+    }
+    found = L.Scanner(L.TEMPLATES).scan([t.encode() for t in texts.values()])
+    assert [[m[0] for m in f] for f in found] == [[n] for n in texts]
