@@ -33,12 +33,12 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{found.rstrip('/')}/{sc.applicationId}"
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
+def materialize(df: DataFrame, tag: str, dictionary: bool = True) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back: a cut of the lineage
-    that survives the loss of executors."""
+    that survives the loss of executors. Without dictionaries, hashes and the like take less CPU."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("parquet.enable.dictionary", str(dictionary).lower()).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_at = path
     # Spark keeps the shuffle files of a finished job until the driver's collector finds it unused
