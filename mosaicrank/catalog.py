@@ -46,17 +46,6 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-def bounded(name: str, sql: str, bound: int):
-    """Registers a query whose SQL ends in a bound on vec_id, and as name_all the same over all vectors."""
-
-    def register(f):
-        query(name, sql)(lambda spark, d: f(spark, d).where(F.col("vec_id") < bound))
-        query(f"{name}_all", sql.removesuffix(f" WHERE vec_id < {bound}"))(f)
-        return f
-
-    return register
-
-
 # fixtures
 
 EMB = "emb AS (SELECT vec_id, vec_id // 5 AS doc_id, CAST(vec_id % 5 AS INTEGER) AS token_idx, CAST(embedding AS DOUBLE[]) AS v, label FROM embeddings)"
@@ -137,9 +126,11 @@ def grouped(spark: SparkSession, sf_dir: str, v: str = "v") -> DataFrame:
 
 @query("mv_brute_maxsim_topk", _with(EMB, MAXSIM) + "SELECT doc_id, round(score, 4) + 0.0 AS score FROM ms ORDER BY ms.score DESC, doc_id LIMIT 10")
 def _(spark, d):
+    # one column for each query token, so that one shuffle of partial maxima does
     q = query_matrix(spark, d).tolist()
-    scored = tokens(spark, d).select("doc_id", F.posexplode(F.array(*[vec.dot(vec.normalize("v"), F.array(*[F.lit(x) for x in row])) for row in q])).alias("q", "s"))
-    best = scored.groupBy("doc_id", "q").agg(F.greatest(F.max("s"), F.lit(0.0)).alias("s")).groupBy("doc_id").agg(F.sum("s").alias("score"))
+    unit = tokens(spark, d).select("doc_id", vec.normalize("v").alias("v"))
+    scored = unit.select("doc_id", *[vec.dot("v", F.array(*[F.lit(x) for x in row])).alias(f"s{i}") for i, row in enumerate(q)])
+    best = scored.groupBy("doc_id").agg(sum((F.greatest(F.max(f"s{i}"), F.lit(0.0)) for i in range(len(q))), F.lit(0.0)).alias("score"))
     return S.top(best, 10).select("doc_id", F.round("score", 4).alias("score"))
 
 
@@ -154,19 +145,20 @@ def _(spark, d):
     return grouped(spark, d).select("doc_id", F.round(score("tokens"), 4).alias("score"))
 
 
-def _pairs(spark, d):
-    t = tokens(spark, d)
-    return t.select("vec_id", "v").join(F.broadcast(t.where("vec_id = 0").select(F.col("v").alias("w"), F.lit(1).alias("one"))), F.lit(1) == F.col("one"))
+def _against_first(spark, d):
+    """Tokens, and the vector of vec_id 0 as a literal w."""
+    w = query_matrix(spark, d, 1)[0].tolist()
+    return tokens(spark, d).select("vec_id", "v", F.array(*[F.lit(x) for x in w]).alias("w"))
 
 
 @query("dot_product", _with(EMB) + "SELECT a.vec_id, round(list_dot_product(a.v, b.v), 4) + 0.0 AS value FROM emb a, emb b WHERE b.vec_id = 0")
 def _(spark, d):
-    return _pairs(spark, d).select("vec_id", F.round(vec.dot("v", "w"), 4).alias("value"))
+    return _against_first(spark, d).select("vec_id", F.round(vec.dot("v", "w"), 4).alias("value"))
 
 
 @query("euclidean_distance", _with(EMB) + "SELECT a.vec_id, round(list_distance(a.v, b.v), 4) + 0.0 AS value FROM emb a, emb b WHERE b.vec_id = 0")
 def _(spark, d):
-    return _pairs(spark, d).select("vec_id", F.round(vec.euclidean("v", "w"), 4).alias("value"))
+    return _against_first(spark, d).select("vec_id", F.round(vec.euclidean("v", "w"), 4).alias("value"))
 
 
 @query("l2_norm", _with(EMB) + "SELECT vec_id, round(sqrt(list_dot_product(v, v)), 4) + 0.0 AS value FROM emb")
@@ -208,17 +200,17 @@ def _(spark, d):
     return assigned(spark, d).select("vec_id", F.posexplode(vec.subtract("v", "cv")).alias("dim", "value")).withColumn("value", F.round("value", 4) + 0.0)
 
 
-@bounded("centroid_reconstruct", _with(EMB, CEN, ASG) + "SELECT vec_id, CAST(generate_subscripts(cv, 1) - 1 AS INTEGER) AS dim, unnest(cv) AS value FROM asg WHERE vec_id < 50", 50)
+@query("centroid_reconstruct", _with(EMB, CEN, ASG) + "SELECT vec_id, CAST(generate_subscripts(cv, 1) - 1 AS INTEGER) AS dim, unnest(cv) AS value FROM asg")
 def _(spark, d):
     return assigned(spark, d).select("vec_id", F.posexplode("cv").alias("dim", "value"))
 
 
 @query("coarse_topk", _with(EMB, CEN) + "SELECT vec_id, CAST(rn AS INTEGER) AS rank, CAST(cid AS INTEGER) AS cid, round(s, 4) + 0.0 AS score FROM (SELECT e.vec_id, c.cid, list_dot_product(e.v, c.v) AS s, row_number() OVER (PARTITION BY vec_id ORDER BY list_dot_product(e.v, c.v) DESC, cid) AS rn FROM emb e, cen c) WHERE rn <= 3")
 def _(spark, d):
-    c = F.broadcast(centroid_frame(spark, d).select(F.col("cid").cast("int"), F.col("v").alias("cv"), F.lit(1).alias("one")))
-    scored = tokens(spark, d).join(c, F.lit(1) == F.col("one")).select("vec_id", "cid", vec.dot("v", "cv").alias("s"))
-    w = Window.partitionBy("vec_id").orderBy(F.desc("s"), "cid")
-    return scored.withColumn("rank", F.row_number().over(w)).where("rank <= 3").select("vec_id", "rank", "cid", F.round("s", 4).alias("score"))
+    # ranked within each row: no shuffle
+    each = [F.struct((-vec.dot("v", F.array(*[F.lit(x) for x in c]))).alias("s"), F.lit(i).alias("cid")) for i, c in enumerate(centroids(spark, d))]
+    best = tokens(spark, d).select("vec_id", F.posexplode(F.slice(F.array_sort(F.array(*each)), 1, 3)).alias("rank", "x"))
+    return best.select("vec_id", (F.col("rank") + 1).alias("rank"), "x.cid", F.round(-F.col("x.s"), 4).alias("score"))
 
 
 def _ivf(spark, d) -> DataFrame:
@@ -408,7 +400,7 @@ def _(spark, d):
 @query("plaid_threshold_score", _with(EMB, CEN, ASG, QS, CODES, BEST) + "SELECT doc_id, round(sum(s), 4) + 0.0 AS score FROM codes JOIN mx USING (cid) WHERE s >= 0.03 GROUP BY doc_id")
 def _(spark, d):
     best = score_table(spark, d)[1].groupBy("cid").agg(F.greatest(F.max("s"), F.lit(0.0)).alias("s")).where("s >= 0.03")
-    return codes(spark, d).join(F.broadcast(best), "cid").groupBy("doc_id").agg(F.round(F.sum("s"), 4).alias("score"))
+    return codes(spark, d).join(best, "cid").groupBy("doc_id").agg(F.round(F.sum("s"), 4).alias("score"))
 
 
 @query("missing_context_zero_score", _with(EMB, MAXSIM) + "SELECT doc_id, round(coalesce(ms.score, 0), 4) + 0.0 AS score FROM documents LEFT JOIN ms USING (doc_id)")
@@ -451,12 +443,12 @@ def _(spark, d):
 def _bucket_sql(n: int) -> str:
     cuts = f"cuts AS (SELECT m FROM sorted WHERE i IN ({', '.join(str(i * 64 // n) for i in range(1, n))}))"
     flat = "flat AS (SELECT vec_id, generate_subscripts(v, 1) - 1 AS dim, unnest(v) AS x FROM emb)"
-    return _with(EMB, CEN, ASG, RES, MEANS, cuts, flat) + "SELECT vec_id, CAST(dim AS INTEGER) AS dim, CAST((SELECT count(*) FROM cuts WHERE m <= x) AS INTEGER) AS bucket FROM flat WHERE vec_id < 100"
+    return _with(EMB, CEN, ASG, RES, MEANS, cuts, flat) + "SELECT vec_id, CAST(dim AS INTEGER) AS dim, CAST((SELECT count(*) FROM cuts WHERE m <= x) AS INTEGER) AS bucket FROM flat"
 
 
 for _bits in (1, 2, 4):
 
-    @bounded(f"binarize_buckets_b{_bits}", _bucket_sql(1 << _bits), 100)
+    @query(f"binarize_buckets_b{_bits}", _bucket_sql(1 << _bits))
     def _(spark, d, bits=_bits):
         cuts, _ = _quantiles(spark, d, bits)
         return tokens(spark, d).select("vec_id", F.posexplode("v").alias("dim", "x")).select("vec_id", "dim", vec.bucket(F.col("x"), cuts).alias("bucket"))
@@ -478,7 +470,7 @@ def _arrow_matrix(name: str, kernel, result: str, column: str = "v"):
     return run(column).alias(name)
 
 
-@bounded("binarizer_decode", _with(EMB, CEN, ASG, RES, MEANS, _W) + "SELECT vec_id, CAST(dim AS INTEGER) AS dim, round(x, 6) + 0.0 AS value FROM deq WHERE vec_id < 100", 100)
+@query("binarizer_decode", _with(EMB, CEN, ASG, RES, MEANS, _W) + "SELECT vec_id, CAST(dim AS INTEGER) AS dim, round(x, 6) + 0.0 AS value FROM deq")
 def _(spark, d):
     b = _binarizer(spark, d)
     rows = tokens(spark, d).select("vec_id", _arrow_matrix("x", lambda m: b.weights[b.buckets(m)], "array<double>"))
@@ -528,7 +520,7 @@ def _(spark, d):
     return _explode_codes(spark, d).select("vec_id", F.posexplode("codes").alias("part", "code"))
 
 
-@bounded("pq_decode", _with(EMB, PQ) + "SELECT vec_id, CAST(part * 8 + generate_subscripts(c, 1) - 1 AS INTEGER) AS dim, round(unnest(c), 5) + 0.0 AS value FROM pq WHERE vec_id < 100", 100)
+@query("pq_decode", _with(EMB, PQ) + "SELECT vec_id, CAST(part * 8 + generate_subscripts(c, 1) - 1 AS INTEGER) AS dim, round(unnest(c), 5) + 0.0 AS value FROM pq")
 def _(spark, d):
     pq = _product(spark, d)
     decode = lambda m: np.concatenate([pq.books[j][m[:, j]] for j in range(8)], axis=1)
@@ -562,7 +554,8 @@ def _corpus(spark, d) -> DataFrame:
 def _scratch(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        if not spark.sparkContext.master.startswith("local"):
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="mosaicrank-")
     return f"{found}/index-{uuid.uuid4().hex}"

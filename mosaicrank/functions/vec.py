@@ -36,8 +36,9 @@ def subtract(a, b) -> Column:
 
 def normalize(a) -> Column:
     """a at unit length; a zero vector stays zero."""
-    n = l2_norm(a)
-    return F.transform(_c(a), lambda x: F.when(n > 0, x.cast("double") / n).otherwise(F.lit(0.0)))
+    # the norm is bound by an outer lambda: within the inner one it would be computed for each element
+    by = lambda n: F.transform(_c(a), lambda x: F.when(n > 0, x.cast("double") / n).otherwise(F.lit(0.0)))
+    return F.transform(F.array(l2_norm(a)), by)[0]
 
 
 def bucket(x: Column, cutoffs: list[float]) -> Column:

@@ -41,37 +41,56 @@ def max_sim(query: np.ndarray, tokens: np.ndarray) -> float:
     return float(np.maximum((query @ unit(tokens.astype(float)).T).max(axis=1), 0).sum()) if len(tokens) else 0.0
 
 
+def _flat(column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The values of a column of lists one after the other, the numbers of the rows that have
+    any, and where those start."""
+    size = np.array([0 if x is None else len(x) for x in column], np.int64)
+    some = np.flatnonzero(size)
+    values = np.concatenate([np.asarray(column.iloc[i]) for i in some]) if len(some) else np.empty(0)
+    return values, some, (np.cumsum(size) - size)[some]
+
+
 def plaid_column(table: np.ndarray, codes: str = "codes") -> Column:
+    """centroid_interaction of each row, a batch at a time; 0 where codes are null."""
     table = np.asarray(table, float)
 
     @F.pandas_udf("double")
     def score(c: pd.Series) -> pd.Series:
-        return pd.Series([centroid_interaction(np.asarray(x, int), table) if x is not None else 0.0 for x in c], dtype=float)
+        own, some, start = _flat(c)
+        out = np.where(c.isna(), 0.0, NONE_YET * len(table))
+        if len(some):
+            out[some] = sum(np.maximum(np.maximum.reduceat(row[own.astype(int)], start), NONE_YET) for row in table)
+        return pd.Series(out)
 
     return score(codes)
 
 
 def maxsim_column(query: np.ndarray, quantizer, centroids: np.ndarray | None = None, residuals: str = "residuals", codes: str = "codes") -> Column:
-    """Late interaction with decoded tokens; with centroids they are added back first."""
+    """Late interaction with decoded tokens, a batch at a time; with centroids they are added back
+    first. A document without tokens scores 0."""
     query, size = np.asarray(query, float), quantizer.code_size
 
     @F.pandas_udf("double")
     def score(r: pd.Series, c: pd.Series) -> pd.Series:
-        out = []
-        for data, own in zip(r, c, strict=True):
-            if data is None:
-                out.append(0.0)
-                continue
-            tokens = quantizer.decode(np.frombuffer(data, np.uint8).reshape(-1, size))
-            out.append(max_sim(query, tokens if centroids is None else tokens + centroids[np.asarray(own, int)]))
-        return pd.Series(out, dtype=float)
+        out = np.zeros(len(r))
+        length = np.array([0 if x is None else len(x) // size for x in r], np.int64)
+        some = np.flatnonzero(length)
+        if not len(some):
+            return pd.Series(out)
+        tokens = quantizer.decode(np.frombuffer(b"".join(r.iloc[i] for i in some), np.uint8).reshape(-1, size))
+        if centroids is not None:
+            tokens = tokens + centroids[np.concatenate([np.asarray(c.iloc[i], int) for i in some])]
+        near = query @ unit(np.asarray(tokens, float)).T
+        out[some] = np.maximum(np.maximum.reduceat(near, (np.cumsum(length) - length)[some], axis=1), 0).sum(axis=0)
+        return pd.Series(out)
 
     return score(residuals, codes)
 
 
 def plaid_scores(codes: DataFrame, table: DataFrame) -> DataFrame:
-    """The first pass relationally: codes (doc_id, cid), table (q, cid, s) -> (doc_id, score)."""
-    best = codes.distinct().join(F.broadcast(table), "cid").groupBy("doc_id", "q").agg(F.max("s").alias("s"))
+    """The first pass relationally: codes (doc_id, cid), table (q, cid, s) -> (doc_id, score). Whether
+    table is broadcast is left to Spark, which checks its size."""
+    best = codes.distinct().join(table, "cid").groupBy("doc_id", "q").agg(F.max("s").alias("s"))
     return best.groupBy("doc_id").agg(F.sum("s").alias("score"))
 
 
