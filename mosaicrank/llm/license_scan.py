@@ -126,7 +126,8 @@ class Scanner:
             self.by_k[k].append(c)
 
     def scan(self, texts: list[bytes]) -> list[list[tuple[str, int, float]]]:
-        """For each text its matches (template, first word of the best window, containment)."""
+        """For each text its matches (template, first word of the window, containment), one for each
+        place: of matching windows that overlap the best stands for all."""
         if len(self.hashes) > _CACHED:
             self.hashes.clear()
         found: list[list] = [[] for _ in texts]
@@ -164,7 +165,7 @@ class Scanner:
                         for t, value in enumerate(c.values[i]):
                             hit[:, t] |= low == value
             for c, doc, start, _, hit in layouts:
-                best: dict = {}
+                runs: dict = defaultdict(list)  # verified windows of a text and a template; those that overlap are one
                 for w, t in zip(*np.nonzero(hit), strict=True):
                     d = int(doc[w])
                     mine, keep = tokens[d]
@@ -172,10 +173,15 @@ class Scanner:
                     near = [normal(mine[j]) for j in keep[at : at + 2 * c.block + k - 1]]
                     held = {tuple(near[j : j + k]) for j in range(min(2 * c.block, len(near) - k + 1))}
                     share = len(c.shingles[t] & held) / len(c.shingles[t])
-                    if share >= self.threshold - 1e-9 and share > best.get((d, t), (0, 0))[0]:
-                        best[d, t] = (share, int(keep[at]))
-                for (d, t), (share, at) in best.items():
-                    found[d].append((c.names[t], at, share))
+                    if share < self.threshold - 1e-9:
+                        continue
+                    own = runs[d, t]
+                    if own and w == own[-1][0] + 1:
+                        own[-1] = (w, *max(own[-1][1:], (share, int(keep[at])), key=lambda x: x[0]))
+                    else:
+                        own.append((w, share, int(keep[at])))
+                for (d, t), own in runs.items():
+                    found[d].extend((c.names[t], at, share) for _, share, at in own)
         for f in found:
             f.sort()
         return found
@@ -183,7 +189,8 @@ class Scanner:
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, n_licenses, licenses (names, sorted, comma-joined), spans (name:first word of the
-    window:containment, likewise) for every row of docs."""
+    window:containment of every place, likewise) for every row of docs. Places whose windows overlap
+    count as one."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     templates = TEMPLATES if templates is None else templates
     Scanner(templates, threshold)  # bad templates fail here
@@ -192,8 +199,9 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, thre
         scanner = Scanner(templates, threshold)
         for b in slices(it, 256):
             found = scanner.scan(byte_rows(b.column(1)))
+            names = [sorted({n for n, _, _ in f}) for f in found]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([len(f) for f in found], pa.int64()), pa.array([",".join(n for n, _, _ in f) for f in found], pa.string()), pa.array([",".join(f"{n}:{at}:{share:.4f}" for n, at, share in f) for f in found], pa.string())],
+                [b.column(0), pa.array([len(n) for n in names], pa.int64()), pa.array([",".join(n) for n in names], pa.string()), pa.array([",".join(f"{n}:{at}:{share:.4f}" for n, at, share in f) for f in found], pa.string())],
                 ["doc_id", "n_licenses", "licenses", "spans"],
             )
 

@@ -18,7 +18,6 @@ matter.
 
 from __future__ import annotations
 
-import re
 import zlib
 
 import numpy as np
@@ -35,14 +34,24 @@ MAX_FEATURES = 4096
 THRESHOLD = 0.3
 HELD_OUT = 2
 _BEGINNINGS = (4, 5, 6)
-_ENDS = re.compile(r"^[\W\d_]+|[\W\d_]+$")
 _CACHED = 200_000
 
 
+def _letter(c: str) -> bool:
+    return c.isalnum() and not c.isdecimal()
+
+
 def token_features(token: str) -> tuple[int, ...]:
-    """Hashes of a token without what stands around its letters, and of its beginnings."""
-    word = _ENDS.sub("", token.lower())
-    if len(word) < 2 or len(word) > 64:
+    """Hashes of a token without what stands around its letters, and of its beginnings; none of a
+    token without letters. Words of any length count."""
+    word = token.lower()
+    i, j = 0, len(word)
+    while i < j and not _letter(word[i]):
+        i += 1
+    while i < j and not _letter(word[j - 1]):
+        j -= 1
+    word = word[i:j]
+    if not word:
         return ()
     parts = [f"w {word}", *(f"p{k} {word[:k]}" for k in _BEGINNINGS if len(word) > k)]
     return tuple(zlib.crc32(p.encode()) for p in parts)

@@ -92,3 +92,20 @@ def test_nnpu_separates_with_few_positives():
     ids = np.arange(20, dtype=np.uint32)
     w, _ = X.nnpu_fit(X._rows(pos, ids), X._rows(neg + rows(60, np.r_[np.full(5, 0.8), np.full(15, 0.2)]), ids), 20, 0.1, 0)
     assert w[:5].mean() > w[5:].mean() + 2
+
+
+def test_toxicity_scores_equal_brute_force(spark):
+    docs, labels = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "labels"))
+    model = X.train(docs, labels)
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for r in X.score(docs.select("doc_id", "text"), model).collect():
+        known = {f for w in (texts[r["doc_id"]] or "").split() for f in X.token_features(w)}
+        logit = model.bias + sum(model.weights.get(f, 0.0) for f in known)
+        assert abs(r["score"] - 1 / (1 + np.exp(-logit))) < 1e-9
+
+
+def test_words_of_any_length_count():
+    word = "x" * 100
+    assert X.token_features(word) and X.token_features("a") and not X.token_features("12.")
+    assert X.token_features(f'("{word.upper()}!!"') == X.token_features(word) != X.token_features(word + "y")
+    assert X.token_features("." * 200_000 + "a" + "." * 200_000) == X.token_features("a")

@@ -82,3 +82,12 @@ def test_common_grants_are_found_without_a_licence_line():
     }
     found = L.Scanner(L.TEMPLATES).scan([t.encode() for t in texts.values()])
     assert [[m[0] for m in f] for f in found] == [[n] for n in texts]
+
+
+def test_every_place_is_reported():
+    text = " ".join([L.TEMPLATES[n := sorted(L.TEMPLATES)[0]], *FILL[:400], L.TEMPLATES[n], *FILL[:400], L.TEMPLATES[n]])
+    found = [m for m in L.Scanner({n: L.TEMPLATES[n]}).scan([text.encode()])[0]]
+    words, size = text.split(), len(L.TEMPLATES[n].split())
+    places = [i for i in range(len(words)) if words[i : i + size] == L.TEMPLATES[n].split()]
+    assert len(places) == len(found) == 3
+    assert all(share == 1 and at <= i < at + 10 * size for i, (_, at, share) in zip(places, found, strict=True))
