@@ -7,8 +7,10 @@ looks at nothing beyond it, so the ids of a text are the ids of its words, joine
 Texts are cut into chunks of whole documents. Within a chunk each distinct word gets a rank by
 frequency, and documents become arrays of ranks. The word lists of all chunks are dealt by a
 hash of the word, so that each distinct word meets the tokenizer once; its ids go back to the
-chunks that hold it, and by rank into their documents. Decoding joins ids with the table of
-pieces (as many rows as the vocabulary) and concatenates.
+chunks that hold it, and by rank into their documents. Decoding joins the ids of a chunk's
+distinct words with the table of pieces (as many rows as the vocabulary) and concatenates; ids
+are dense, so this join is a gather within the task and shuffles nothing. decode_ids() is the
+same join between DataFrames, for ids that come without their words.
 
 Chunks bound what a task holds, and only packed word lists and ranks are shuffled, never texts.
 The two passes that form chunks must see documents alike, so docs must be a table that is read,
@@ -188,17 +190,18 @@ def encode_documents(docs: DataFrame, spec: str, chunk_bytes: int = CHUNK_BYTES,
     def assemble(left: pa.Table, right: pa.Table) -> pa.Table:
         if "pieces" not in cache:
             found = json.loads(shared.value)
-            cache["pieces"] = byte_pieces(found["model"]["vocab"] | {t["content"]: t["id"] for t in found["added_tokens"]})
-        pieces = cache["pieces"]
+            cache["pieces"] = pa.array(byte_pieces(found["model"]["vocab"] | {t["content"]: t["id"] for t in found["added_tokens"]}), pa.large_binary())
         lists = [[_unpack(x) for x in right.column(c).to_pylist()] for c in ("ranks", "sizes", "ids")]
         total = sum(map(len, lists[0]))
         ids, decoded, n_ids = [""] * total, [b""] * total, np.zeros(total, np.int64)
         for ranks, sizes, flat in zip(*lists, strict=True):
             n_ids[ranks] = sizes
             text, at = [str(i) for i in flat.tolist()], 0
-            piece = [pieces[i] for i in flat.tolist()]
-            for r, n in zip(ranks.tolist(), sizes.tolist(), strict=True):
-                ids[r], decoded[r] = ",".join(text[at : at + n]), b"".join(piece[at : at + n])
+            joined = cache["pieces"].take(pa.array(flat))
+            ends = np.frombuffer(joined.buffers()[1], np.int64)[np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])] if len(flat) else np.zeros(len(sizes) + 1, int)
+            blob = joined.buffers()[2].to_pybytes() if len(flat) else b""
+            for r, n, i, j in zip(ranks.tolist(), sizes.tolist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                ids[r], decoded[r] = ",".join(text[at : at + n]), blob[i:j]
                 at += n
         del lists
         rows: list[list] = [[] for _ in range(6 if with_ids else 4)]
