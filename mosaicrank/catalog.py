@@ -19,12 +19,12 @@ from .index import Index
 from .operators import postings as P
 from .operators import scoring as S
 from .operators.kmeans import CoarseQuantizer, assign_column, lloyd_step
-from .operators.quantizers import Binarizer, ProductQuantizer
+from .operators.quantizers import Binarizer, Identity, ProductQuantizer
 from .plans.planner import probed
 from .plans.query import AndQueryNode, OrQueryNode, Query, TermQueryNode, VectorQueryNode
 from .session import ship
 from .sources import schema as T
-from .sources.frames import documents_frame
+from .sources.frames import documents_frame, read_json_documents, to_json_rows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -702,3 +702,125 @@ def _(spark, d):
 @query("binarizer_trained_search")
 def _(spark, d):
     return _trained(spark, d, T.QuantizerType.BINARIZER, nbits=2, residual_mode="residual", quantile_source="values")
+
+
+@query("kmeans_trained_full_probe", _with(EMB, MAXSIM) + "SELECT doc_id, round(score, 4) + 0.0 AS score FROM ms WHERE doc_id IN (SELECT doc_id FROM documents) ORDER BY ms.score DESC, doc_id LIMIT 10")
+def _(spark, d):
+    """Trained centroids, all of them probed: whatever training found, this is brute force."""
+    p = T.FieldParameters(dimensions=64, quantization=T.QuantizerType.NONE, num_centroids=8, num_iterations=2)
+    docs = _corpus(spark, d).select("doc_id", "colbert")
+    index = Index.create(spark, _scratch(spark), T.Schema([T.Field("colbert", T.DataType.TENSOR, [T.FieldRole.COLBERT], p)]))
+    index.train(docs)
+    index.add(0, docs)
+    every = T.SearchOptions(k_top_centroids=8, n_probe=8, num_second_pass=10**6)
+    root = OrQueryNode([_vector(spark, d)])
+    return _rounded(index.search(0, Query(root), 10, every).select("doc_id", "score"))
+
+
+# an index's life: files, models, forward reads
+
+
+def _reopened(spark, d, read_only: bool = True) -> Index:
+    index = _index(spark, d)
+    index.flush()
+    index.close()
+    return Index.open(spark, index.path, read_only)
+
+
+@query("reopened_search", ORACLES["two_phase_search"])
+def _(spark, d):
+    return _rounded(_reopened(spark, d).search(0, Query(_vector(spark, d)), 10, OPTS).select("doc_id", "score"))
+
+
+@query("copy_trained_search", ORACLES["two_phase_search"])
+def _(spark, d):
+    index = Index.copy_trained(_reopened(spark, d), _scratch(spark))
+    index.add(0, _corpus(spark, d))
+    return _rounded(index.search(0, Query(_vector(spark, d)), 10, OPTS).select("doc_id", "score"))
+
+
+@query("saved_centroids", _with(EMB, CEN) + "SELECT CAST(cid AS INTEGER) AS cid, CAST(generate_subscripts(v, 1) - 1 AS INTEGER) AS dim, round(unnest(v), 6) + 0.0 AS value FROM cen")
+def _(spark, d):
+    rows = [(c, j, float(x)) for c, row in enumerate(_reopened(spark, d).coarse["colbert"].centroids) for j, x in enumerate(row)]
+    return spark.createDataFrame(rows, "cid int, dim int, value double").withColumn("value", F.round("value", 6) + 0.0)
+
+
+@query("saved_version", "SELECT '0.1.0' AS version")
+def _(spark, d):
+    return spark.createDataFrame([(str(_reopened(spark, d).config.version),)], "version string")
+
+
+@query("forward_iterator", f"{LIVE}")
+def _(spark, d):
+    return _reopened(spark, d).stored(0)
+
+
+@query("context_decode", _with(EMB) + "SELECT doc_id, token_idx, CAST(generate_subscripts(v, 1) - 1 AS INTEGER) AS dim, round(unnest(v), 5) + 0.0 AS value FROM emb WHERE doc_id IN (SELECT doc_id FROM documents)")
+def _(spark, d):
+    """Token vectors from the stored context, decoded by the field's quantizer."""
+    index = _reopened(spark, d)
+    quantizer = index.quantizers["colbert"]
+
+    @F.pandas_udf("array<array<float>>")
+    def decoded(r):
+        return r.map(lambda x: list(quantizer.decode(np.frombuffer(x, np.uint8).reshape(-1, quantizer.code_size))))
+
+    each = index.context(0).context.select("doc_id", F.posexplode(decoded("residuals")).alias("token_idx", "v"))
+    return each.select("doc_id", "token_idx", F.posexplode("v").alias("dim", "value")).withColumn("value", F.round(F.col("value").cast("double"), 5) + 0.0)
+
+
+@query("explained_document", _with(*SEARCH) + "SELECT cand.doc_id, round(plaid.score, 4) + 0.0 AS score FROM cand JOIN plaid USING (doc_id) WHERE cand.doc_id = 0")
+def _(spark, d):
+    return _rounded(_index(spark, d).explain_doc(0, Query(_vector(spark, d)), 0, OPTS))
+
+
+@query("indexed_tensor_postings", _with(EMB, CEN, ASG, CODES) + "SELECT CAST(cid AS BIGINT) AS cid, doc_id FROM codes WHERE doc_id IN (SELECT doc_id FROM documents)")
+def _(spark, d):
+    """A tensor that is indexed alone: postings by centroid and no context."""
+    schema = T.Schema([T.Field("colbert", T.DataType.TENSOR, _INDEXED, _COLBERT)])
+    index = Index.create(spark, _scratch(spark), schema)
+    index.set_coarse_quantizer("colbert", CoarseQuantizer(np.array(centroids(spark, d))))
+    index.add(0, _corpus(spark, d).select("doc_id", "colbert"))
+    return index.postings(0).where("kind = 'centroid'").select(F.col("num").alias("cid"), "doc_id")
+
+
+@query("coarse_add_assign", _with(EMB, CEN, ASG) + "SELECT vec_id, CAST(cid AS INTEGER) AS cid FROM asg")
+def _(spark, d):
+    """Centroids dropped and added again in two parts, and the numpy kernel's assignment."""
+    c = np.array(centroids(spark, d))
+    coarse = CoarseQuantizer(c[::-1])
+    coarse.reset()
+    coarse.add(c[:3])
+    coarse.add(c[3:])
+    return tokens(spark, d).select("vec_id", _arrow_matrix("cid", lambda m: coarse.assign(m).tolist(), "int"))
+
+
+@query("identity_round_trip", _with(EMB) + "SELECT vec_id, CAST(generate_subscripts(v, 1) - 1 AS INTEGER) AS dim, round(unnest(v), 5) + 0.0 AS value FROM emb")
+def _(spark, d):
+    q = Identity(64)
+    rows = tokens(spark, d).select("vec_id", _arrow_matrix("x", lambda m: q.decode(q.encode(m)).astype(float), "array<double>"))
+    return rows.select("vec_id", F.posexplode("x").alias("dim", "value")).withColumn("value", F.round("value", 5) + 0.0)
+
+
+@query("pq_encode_inner_product", _with(EMB, PQ.replace(" - 0.5 * list_dot_product(b.c, b.c)", "")) + "SELECT vec_id, CAST(part AS INTEGER) AS part, code FROM pq")
+def _(spark, d):
+    pq = _product(spark, d)
+    pq = ProductQuantizer(pq.dim, pq.m, pq.nbits, "inner_product", pq.books)
+    rows = tokens(spark, d).select("vec_id", _arrow_matrix("codes", lambda m: pq.encode(m).astype(np.int32), "array<int>"))
+    return rows.select("vec_id", F.posexplode("codes").alias("part", "code"))
+
+
+@query("json_documents", "SELECT doc_id, lang, n_chars FROM documents")
+def _(spark, d):
+    """Documents written as a line of JSON each, and read back."""
+    value = lambda name, kind: F.struct(F.lit(name).alias("name"), F.lit(kind).alias("data_type"), F.col(name).cast("string").alias("value"))
+    listed = F.to_json(F.struct(F.col("doc_id").alias("id"), F.array(value("lang", "TEXT"), value("n_chars", "INTEGER")).alias("fields")))
+    path = _scratch(spark)
+    table(spark, d, "documents").select(listed.alias("value")).write.text(path)
+    schema = T.Schema([T.Field("lang", T.DataType.TEXT, _INDEXED), T.Field("n_chars", T.DataType.INTEGER, _INDEXED)])
+    return read_json_documents(spark, schema, path)
+
+
+@query("json_results", "SELECT '{\"id\":' || doc_id || ',\"score\":0.0,\"metadata\":{\"lang\":\"' || lang || '\",\"n_chars\":' || n_chars || '}}' AS value FROM documents WHERE lang = 'de' AND doc_id IN (SELECT vec_id // 5 FROM embeddings) ORDER BY doc_id LIMIT 10")
+def _(spark, d):
+    return to_json_rows(_index(spark, d).search(0, Query(_term("lang", "de")), 10))
