@@ -23,7 +23,6 @@ repeat each get their result. Extra columns don't matter. A text longer than a c
 
 from __future__ import annotations
 
-import ctypes
 import hashlib
 import json
 import re
@@ -35,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_rows, read, slices
+from .common import byte_rows, read, slices, trim
 
 CHUNK_BYTES = 32 << 20
 _CUT = re.compile(r"(?<=\S)(?= \S)|(?<=\S)(?=\n\S)|(?<=\S\n)(?=\S)")
@@ -53,13 +52,6 @@ def split_words(text: bytes) -> list[bytes]:
     return [w.encode() for w in _CUT.split(text.decode("utf-8", "replace")) if w]
 
 
-def trim() -> None:
-    """Gives freed memory back to the system, where the C library can."""
-    give = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if give:
-        give(0)
-
-
 def _chunks(batches, chunk_bytes: int):
     """Yields (chunk, words by falling frequency, [(ids column, ranks, words per document)])."""
     from pyspark import TaskContext

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -16,6 +17,9 @@ _OWN_DIRS: dict[str, str] = {}
 #: Rows of Arrow data that one step of a Python kernel handles at a time.
 SLICE = 512
 
+#: Bits of a filter, whatever the input: a megabyte for each task.
+FILTER_BITS = 1 << 23
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
@@ -74,6 +78,28 @@ def with_row_key(docs: DataFrame, name: str) -> DataFrame:
     return docs.withColumn(name, F.monotonically_increasing_id())
 
 
+def dense(cells: DataFrame, size: int) -> DataFrame:
+    """One row with column a: values in the order of cells, 0 where there is none. At most size
+    numbers, whatever the input."""
+    none = cells.sparkSession.range(size).select(F.col("id").alias("cell"), F.lit(0).cast("long").alias("value"))
+    merged = cells.unionByName(none).groupBy("cell").agg(F.bit_or("value").alias("value"))
+    return merged.agg(F.transform(F.array_sort(F.collect_list(F.struct("cell", "value"))), lambda x: x["value"]).alias("a"))
+
+
+def bit_filter(keys: DataFrame, *key: str, bits: int = FILTER_BITS):
+    """A function from columns to whether they may be among keys: true for all that are, and for more
+    of the others the more keys there are."""
+    h = F.pmod(F.xxhash64(*key), F.lit(bits))
+    cells = keys.select(h.alias("h")).select(F.shiftright("h", 6).alias("cell"), F.expr("shiftleft(1L, cast(h & 63 as int))").alias("value"))
+    table = dense(cells, bits >> 6).scalar()
+
+    def test(*c: str) -> Column:
+        at = F.pmod(F.xxhash64(*c), F.lit(bits))
+        return F.getbit(table[F.shiftright(at, 6).cast("int")], at.bitwiseAND(F.lit(63)).cast("int")) == 1
+
+    return test
+
+
 def fold(doc_id: Column) -> Column:
     """crc32 of the id as text, modulo 4; 2 is the held-out fold. A null id hashes as ''."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 4
@@ -87,8 +113,21 @@ def byte_rows(column) -> list[bytes]:
     return [x or b"" for x in column.cast(kind).to_pylist()]
 
 
+def trim() -> None:
+    """Gives freed memory back to the system, where the C library can."""
+    give = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if give:
+        give(0)
+
+
 def slices(batches, rows: int = SLICE):
-    """Smaller record batches, so that few texts are held as Python objects at once."""
+    """Smaller record batches, so that few texts are held as Python objects at once. Workers live on
+    from task to task; what the last one left and what Arrow frees goes back to the system."""
+    import pyarrow as pa
+
+    pa.set_memory_pool(pa.system_memory_pool())
+    trim()
     for batch in batches:
         for start in range(0, batch.num_rows, rows):
             yield batch.slice(start, rows)
+    trim()

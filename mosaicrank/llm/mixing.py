@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_name, materialize, read, with_row_key
+from .common import bit_filter, free_name, materialize, read, with_row_key
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST = 3.0
@@ -175,9 +175,12 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def take_copies(docs: DataFrame, weights=WEIGHTS, most: float = MOST) -> DataFrame:
-    """docs with each row as often as the mix takes it; all columns stay as they are."""
+    """docs with each row as often as the mix takes it; all columns stay as they are. Only rows
+    that a bit filter takes for ones not taken just once are shuffled."""
     row, n = free_name(docs, "row_key"), free_name(docs, "mix_copies")
     keyed = with_row_key(docs, row)
-    taken = materialize(mix(keyed, row, weights, most).where("copies > 0").select(F.col("row").alias(row), F.col("copies").alias(n)), "mixing-taken")
-    joined = keyed.join(taken, row)
-    return joined.withColumn(n, F.explode(F.sequence(F.lit(1), F.col(n)))).select(*docs.columns)
+    other = materialize(mix(keyed, row, weights, most).where("copies <> 1").select(F.col("row").alias(row), F.col("copies").alias(n)), "mixing-taken")
+    may = bit_filter(other, row)
+    joined = keyed.where(may(row)).join(other.hint("merge"), row, "left").withColumn(n, F.coalesce(n, F.lit(1))).where(F.col(n) > 0)
+    taken = joined.withColumn(n, F.explode(F.sequence(F.lit(1), F.col(n)))).select(*docs.columns)
+    return keyed.where(~may(row)).select(*docs.columns).unionByName(taken)

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import byte_rows, discard, free_name, materialize, read, slices, with_row_key
+from .common import bit_filter, byte_rows, discard, free_name, materialize, read, slices, with_row_key
 
 RADIUS = 3
 SHINGLE = 3
@@ -211,10 +211,15 @@ def op9_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_one_of_each(docs: DataFrame, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
     """docs with one row of each component: the one with the smallest doc_id (null last), the
-    first in scan order among equals. All columns stay as they are."""
+    first in scan order among equals. All columns stay as they are. Only rows that a bit filter
+    takes for dropped ones are shuffled."""
     row = free_name(docs, "row_key")
     keyed = with_row_key(docs, row)
     found = materialize(simhash_components(keyed, row, bucket_limit), "simhash-found")
     order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id"), F.col("row"))
-    kept = found.groupBy("root").agg(F.min(order).alias("first")).select(F.col("first.row").alias(row))
-    return keyed.join(kept, row, "left_semi").select(*docs.columns)
+    kept = found.groupBy("root").agg(F.min(order).alias("first")).select(F.col("first.row").alias("row"))
+    dropped = materialize(found.select("row").join(kept, "row", "left_anti").withColumnRenamed("row", row), "simhash-dropped")
+    discard(found)
+    may = bit_filter(dropped, row)
+    rest = keyed.where(may(row)).join(dropped.hint("merge"), row, "left_anti")
+    return keyed.where(~may(row)).select(*docs.columns).unionByName(rest.select(*docs.columns))
