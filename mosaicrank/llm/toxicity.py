@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import byte_rows, fold, free_name, read, slices, with_row_key
+from .common import byte_rows, fold, free_name, read, slices, trim, with_row_key
 
 MAX_POSITIVE = 3000
 MAX_UNLABELLED = 6000
@@ -196,6 +196,8 @@ def train(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE,
     w, b = np.mean([w for w, _ in fits], axis=0), float(np.mean([b for _, b in fits]))
     logits = lambda rows: np.add.reduceat(np.append(w[rows[0]], 0.0), rows[1][:-1]) * (np.diff(rows[1]) > 0) + b
     scale, shift = calibrate(*(logits(x) for x in sparse), prior)
+    del found, feats, p, u, sparse
+    trim()
     return Model(ids, scale * w, scale * b + shift, prior)
 
 
