@@ -2,7 +2,8 @@
 
 Probing happens on the driver, on the query's few tokens and the centroids. The rest is a plan of
 a semi-join's worth of posting filters, one context join that reads codes alone, a top-n, a
-second join for at most num_second_pass residuals, a top-k and a left join for what is stored.
+second join for at most num_second_pass residuals (None: all candidates'), a top-k and a left join
+for what is stored.
 """
 
 from __future__ import annotations
@@ -77,7 +78,7 @@ def plan(root, k: int, ctx: Context, opts: SearchOptions) -> DataFrame:
     """(doc_id, score, stored columns), best first: at most k rows."""
     opts.check()
     found = candidates(root, ctx, opts)
-    first = S.top(found, max(opts.num_second_pass, 0)).select("doc_id")
+    first = (found if opts.num_second_pass is None else S.top(found, max(opts.num_second_pass, 0))).select("doc_id")
     probes = [v for v in vectors(root) if v.value.name == opts.colbert_field]
     f = ctx.schema[opts.colbert_field] if probes or vectors(root) else None
     if not probes or not f.has(FieldRole.COLBERT):

@@ -232,7 +232,7 @@ class Document:
 class SearchOptions:
     k_top_centroids: int = 2
     n_probe: int = 32
-    num_second_pass: int = 1024
+    num_second_pass: int | None = 1024  # None: every candidate is ranked
     colbert_field: str = "colbert"
     expected_id: int = -1
 
