@@ -52,7 +52,7 @@ class Index:
         index = Index(spark, path, Schema.from_json(store.read_text("schema.json")), Configuration(version), read_only)
         if store.exists("models.json"):
             for name, m in json.loads(store.read_text("models.json")).items():
-                index.coarse[name] = CoarseQuantizer(np.asarray(m["centroids"], np.float32) if m["centroids"] else None)
+                index.coarse[name] = CoarseQuantizer(m["centroids"] or None)
                 index.quantizers[name] = Q.from_dict(m["quantizer"])
         return index
 

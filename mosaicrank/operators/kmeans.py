@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from ..functions.vec import dot
 
+PRODUCTS = 1 << 21  # held at a time in an assignment, 8 bytes each
+
 
 def as_matrix(column: pa.Array) -> np.ndarray:
     """A list column without nulls, all of one length, as rows."""
@@ -22,10 +24,13 @@ def as_matrix(column: pa.Array) -> np.ndarray:
 
 
 class CoarseQuantizer:
-    """Centroids as a matrix on the driver: k * dim numbers, a model and not data."""
+    """Centroids as a matrix on the driver: k * dim numbers, a model and not data.
+
+    Products are in double precision, as in SQL: in single precision centroids that lie close come
+    out equal or in the wrong order."""
 
     def __init__(self, centroids=None):
-        self.centroids = np.zeros((0, 0), np.float32) if centroids is None else np.asarray(centroids, np.float32)
+        self.centroids = np.zeros((0, 0)) if centroids is None else np.asarray(centroids, float)
 
     @property
     def num_centroids(self) -> int:
@@ -37,11 +42,14 @@ class CoarseQuantizer:
         return self
 
     def assign(self, x: np.ndarray) -> np.ndarray:
-        return np.argmax(x @ self.require().centroids.T, axis=1).astype(np.int32)
+        c = self.require().centroids
+        step = max(PRODUCTS // len(c), 1)
+        own = [np.argmax(x[i : i + step].astype(float) @ c.T, axis=1) for i in range(0, len(x), step)]
+        return np.concatenate(own or [[]]).astype(np.int32)
 
     def search(self, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and inner products of the k best centroids of each row, best first."""
-        s = x @ self.require().centroids.T
+        s = np.asarray(x, float) @ self.require().centroids.T
         order = np.argsort(-s, axis=1, kind="stable")[:, : min(k, self.num_centroids)]
         return order, np.take_along_axis(s, order, 1)
 
@@ -52,11 +60,11 @@ class CoarseQuantizer:
         return x - self.centroids[self.assign(x)]
 
     def add(self, more) -> None:
-        more = np.asarray(more, np.float32)
+        more = np.asarray(more, float)
         self.centroids = more if not self.num_centroids else np.vstack([self.centroids, more])
 
     def reset(self) -> None:
-        self.centroids = np.zeros((0, 0), np.float32)
+        self.centroids = np.zeros((0, 0))
 
 
 def assign_column(token: str | Column, centroids: list[list[float]]) -> Column:

@@ -55,7 +55,7 @@ def candidates(node, ctx: Context, opts: SearchOptions) -> DataFrame:
         f = ctx.schema[node.value.name]
         if not f.is_clustered:
             return ctx.none()
-        table = node.matrix @ ctx.coarse[f.name].require().centroids.T
+        table = node.matrix.astype(float) @ ctx.coarse[f.name].require().centroids.T
         picks = probed(table, opts.k_top_centroids, opts.n_probe)
         if not picks:
             return ctx.none()
